@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from specweave.llm.copies import copies, distinct_records
 from specweave.llm.leakage import leaks
 from specweave.llm.tokenize import token_ids
 from specweave.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(table(spark, sf_dir, "claim_candidates"))
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_records(table(spark, sf_dir, "claim_candidates"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -20,7 +29,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
