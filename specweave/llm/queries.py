@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from specweave.llm.copies import copies, distinct_records
 from specweave.llm.leakage import leaks
+from specweave.llm.lookform import equal_looking, normal_form
 from specweave.llm.tokenize import token_ids
 from specweave.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = equal_looking(table(spark, sf_dir, "rejected_claims"), "rejected_id", "quote", ["scope_id"])
+    claims = table(spark, sf_dir, "claims", "claim_id", "condition", "provenance.scope_id", "canonical_name")
+    conditions = equal_looking(claims, "claim_id", "condition", ["scope_id", "canonical_name"])
+    return quotes.select(F.lit("quote").alias("field"), "id_a", "id_b").unionAll(conditions.select(F.lit("condition").alias("field"), "id_a", "id_b"))
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = table(spark, sf_dir, "rejected_claims", F.lit("quote").alias("field"), F.col("rejected_id").alias("id"), F.col("quote").alias("text"))
+    claims = table(spark, sf_dir, "claims", F.lit("condition").alias("field"), F.col("claim_id").alias("id"), F.col("condition").alias("text"))
+    return quotes.unionAll(claims).select("field", "id", normal_form(F.col("text")).alias("form"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "claim_candidates"))
 
@@ -29,7 +44,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
