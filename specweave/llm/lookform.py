@@ -45,9 +45,8 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
     unseen, blanks = set(UNSEEN), set(BLANKS)
     count, start, ccc = np.ones(MAX_CP, np.uint8), np.zeros(MAX_CP, np.int64), np.zeros(MAX_CP, np.uint8)
     flat: list[int] = [0]
-    for c in range(MAX_CP):
-        if 0xD800 <= c <= 0xDFFF or 0xAC00 <= c <= 0xD7A3 or 0x3400 <= c <= 0x9FFF or 0x20000 <= c <= 0xDFFFF or c >= 0xE01F0:
-            continue
+    # Ideographs and Hangul syllables stay as they are; nothing is assigned in between.
+    for c in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0)]:
         ch = chr(c)
         ccc[c] = unicodedata.combining(ch)
         cat = unicodedata.category(ch)
@@ -76,9 +75,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
             count[c], start[c] = len(out), len(flat)
             flat += map(ord, out)
     pairs, made = [], []
-    for c in range(MAX_CP):
-        if 0xD800 <= c <= 0xDFFF or 0xAC00 <= c <= 0xD7A3:
-            continue
+    for c in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]:
         d = unicodedata.decomposition(chr(c))
         if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(c)) == chr(c):
             a, b = (int(p, 16) for p in d.split(" "))
