@@ -17,6 +17,8 @@ import pyarrow as pa
 #: Bytes of text handled at a time; bounds a kernel's memory whatever the length of the texts.
 SLICE_BYTES = 4 << 20
 MAX_CP = sys.maxunicode + 1
+# Blocks of characters of one kind, from the Unicode block list.
+ALIKE = [(0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xE000), (0xE000, 0xF900), (0x323B0, 0xE0000), (0xE01F0, 0xF0000), (0xF0000, 0x10FFFE)]
 
 
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +80,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 @cache
 def char_table(rule: Callable[[str], int], kind: type = np.uint8) -> np.ndarray:
-    """``rule`` of every code point, as a lookup table (surrogates give 0)."""
+    """``rule`` of every code point, as a lookup table (surrogates give 0).
+
+    Blocks whose characters are all alike (ideographs, Hangul syllables, private use, the empty
+    planes) are filled with the rule of one of them, so a worker has its table in no time."""
     t = np.zeros(MAX_CP, kind)
-    for c in range(MAX_CP):
-        if not 0xD800 <= c <= 0xDFFF and (v := rule(chr(c))):
-            t[c] = v
+    for lo, hi in ALIKE:
+        if lo != 0xD800:
+            same = rule(chr(lo + 1))
+            t[lo:hi] = np.arange(lo, hi) if same == lo + 1 else same
+    for lo, hi in zip([0, *(b for _, b in ALIKE)], [*(a for a, _ in ALIKE), MAX_CP], strict=True):
+        for c in range(lo, hi):
+            if v := rule(chr(c)):
+                t[c] = v
     return t
 
 
