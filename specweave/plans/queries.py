@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from specweave.operators.snapshots import snapshot_changes
+from specweave.operators.units import convert_units, mixed_amounts
 from specweave.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_amounts(table(spark, sf_dir, "claims"), table(spark, sf_dir, "common_units"))
+
+
+def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert_units(table(spark, sf_dir, "claims"), table(spark, sf_dir, "common_units"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(*(table(spark, sf_dir, t) for t in ("spec_values", "spec_conflicts", "spec_gaps")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return {"p2_found": p2_found, "p2_amounts": p2_amounts, "p5_found": p5_found}
