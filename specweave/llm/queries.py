@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specweave.llm.copies import copies, distinct_records
 from specweave.llm.leakage import leaks
 from specweave.llm.lookform import equal_looking, normal_form
+from specweave.llm.namelist import map_names, match_names
 from specweave.llm.tokenize import token_ids
 from specweave.session import table
 
@@ -35,6 +36,19 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_records(table(spark, sf_dir, "claim_candidates"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "canonical_names")
+    claims = table(spark, sf_dir, "claims", F.lit("claim").alias("source"), F.col("claim_id").alias("record_id"), F.col("canonical_name").alias("typed"))
+    merges = table(spark, sf_dir, "merge_candidates", F.lit("merge_candidate").alias("source"), F.col("candidate_id").alias("record_id"), F.col("key").alias("typed"))
+    return map_names(claims.unionAll(merges), entries, F.col("typed")).select("source", "record_id", "name_id").distinct()
+
+
+def p4_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "claims", F.col("canonical_name").alias("name"))
+    names = claims.unionAll(table(spark, sf_dir, "merge_candidates", F.col("key").alias("name"))).where("name is not null").distinct()
+    return match_names(names, table(spark, sf_dir, "canonical_names"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -44,7 +58,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_names": p4_names, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
