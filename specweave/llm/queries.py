@@ -11,6 +11,7 @@ from specweave.llm.copies import copies, distinct_records
 from specweave.llm.leakage import leaks
 from specweave.llm.lookform import equal_looking, normal_form
 from specweave.llm.namelist import map_names, match_names
+from specweave.llm.subjects import document_subjects
 from specweave.llm.tokenize import token_ids
 from specweave.session import table
 
@@ -57,8 +58,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_names": p4_names, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_names": p4_names, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 def oracle_sql() -> dict[str, str]:
