@@ -15,8 +15,8 @@ def as_number(value: Column) -> Column:
 
 
 def digits(number: Column, significant: int = 12) -> Column:
-    """A rendering that is equal for numbers equal to so many significant digits."""
-    return F.format_string(f"%.{significant - 1}e", F.when(number == 0, F.lit(0.0)).otherwise(number))
+    """A rendering that is equal for numbers equal to so many significant digits; null for null."""
+    return F.when(number == 0, F.format_string(f"%.{significant - 1}e", F.lit(0.0))).when(number.isNotNull(), F.format_string(f"%.{significant - 1}e", number))
 
 
 def value_key(value: Column, significant: int = 12) -> Column:

@@ -43,8 +43,9 @@ def clamp(start: Column, end: Column, length: Column) -> tuple[Column, Column]:
 
 def _shingle_keys(text: Column, words: int) -> Column:
     w = F.filter(F.split(F.lower(squeezed(text)), " "), lambda x: x != "")
-    n = F.size(w) - words
-    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))))
+    # The list of words is bound to a variable, else it would be cut anew for every shingle.
+    hashed = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, words), " ")))
+    return F.array_distinct(F.element_at(F.transform(F.array(w), hashed), 1))
 
 
 def find_spans(needles: DataFrame, texts: DataFrame, scope: str, needle_id: str, text_id: str, words: int = QUOTE_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ def quota_headroom(ledger: DataFrame, limits: DataFrame) -> DataFrame:
     """Requests left by provider and UTC day under a margin of the limit; null where unlimited."""
     used = ledger.where("not cached").groupBy("provider", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"))
     ceiling = F.floor(F.col("daily_limit") * MARGIN)
-    return used.join(limits, "provider", "left").select("provider", "day", "requests", F.greatest(ceiling - F.col("requests"), F.lit(0)).cast("bigint").alias("headroom"), (F.col("requests") >= ceiling).alias("exhausted"))
+    return used.join(limits, "provider", "left").select("provider", "day", "requests", F.when(ceiling.isNotNull(), F.greatest(ceiling - F.col("requests"), F.lit(0))).cast("bigint").alias("headroom"), (F.col("requests") >= ceiling).alias("exhausted"))
 
 
 def first_eligible(requests: DataFrame, legs: DataFrame, exhausted: DataFrame) -> DataFrame:

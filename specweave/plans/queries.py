@@ -1,27 +1,384 @@
-"""Queries of the core operators over the test tables."""
+"""Queries of the core operators over the test tables, whole tables each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from specweave.functions import ids, text, values
+from specweave.operators import align, claims, conflicts, documents, gaps, operations, policy, synthesis
+from specweave.operators.rules import FIDELITY_CONFIDENCE
 from specweave.operators.snapshots import snapshot_changes
 from specweave.operators.units import convert_units, mixed_amounts
 from specweave.session import table
+from specweave.sources import latex
+from specweave.streaming.ledger import daily_usage
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_amounts(table(spark, sf_dir, "claims"), table(spark, sf_dir, "common_units"))
 
+def claim_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims as the operators take them: once each, typed, with plain names and flat provenance."""
+    c = claims.once(table(spark, sf_dir, "claims"))
+    flat = c.select("claim_id", "paper_id", "type", "status", "canonical_name", "paper_symbol", "value", "value_type", "unit", "applies_to", "condition", "stated_explicitly", "quote", "confidence", F.col("provenance.span_id").alias("span_id"), F.col("provenance.scope_id").alias("scope_id"), F.col("provenance.section").alias("section"), F.col("verification.citation_trace").alias("trace_result"), F.col("verification.symbol_check").alias("symbol_result"))
+    return claims.typed(claims.canonical_names(flat))
 
-def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert_units(table(spark, sf_dir, "claims"), table(spark, sf_dir, "common_units"))
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "paper_id", "section", "text")
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_changes(*(table(spark, sf_dir, t) for t in ("spec_values", "spec_conflicts", "spec_gaps")))
 
+def _conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts.value_conflicts(claim_view(spark, sf_dir))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_amounts": p2_amounts, "p5_found": p5_found}
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts.positions_with_support(_conflicts(spark, sf_dir), table(spark, sf_dir, "papers", "paper_id", "venue", "year"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts with supported positions, resolved by the rule table."""
+    pos = _positions(spark, sf_dir).withColumn("is_primary", F.lit(False))
+    fields = F.struct("claim_id", "paper_id", "position", "specificity", "stated_explicitly", "has_condition", "is_primary", "year", "peer_reviewed")
+    packed = pos.groupBy("contradiction_id", "conflict_type", "severity").agg(F.array_sort(F.collect_list(fields)).alias("positions"))
+    return policy.resolve(packed)
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a ledger: the type is the provider, the value the tokens; errors failed."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select("event_id", "ts", F.col("event_type").alias("provider"), F.col("user_id"), F.col("value").alias("tokens"), (F.col("event_type") == "error").alias("failed"), (k % 4 == 0).alias("cached"), k.alias("prompt_hash"))
+
+
+# One function a query -------------------------------------------------------------------------
+
+
+def p2_found(spark, d):
+    return mixed_amounts(table(spark, d, "claims"), table(spark, d, "common_units"))
+
+
+def p2_amounts(spark, d):
+    return convert_units(table(spark, d, "claims"), table(spark, d, "common_units"))
+
+
+def p5_found(spark, d):
+    return snapshot_changes(*(table(spark, d, t) for t in ("spec_values", "spec_conflicts", "spec_gaps")))
+
+
+def quote_hash_dups(spark, d):
+    return documents.same_texts(_documents(spark, d))
+
+
+def normalized_texts(spark, d):
+    n = text.normalize_text(F.col("text"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.sha2(n, 256).alias("digest"), F.length(n).alias("n_chars"))
+
+
+def paragraph_spans(spark, d):
+    return documents.spans(_documents(spark, d))
+
+
+def slugs(spark, d):
+    return table(spark, d, "papers", "paper_id", ids.slugify(F.col("title")).alias("slug"), ids.component_id(F.col("venue")).alias("component_id"))
+
+
+def span_parts(spark, d):
+    p = ids.parse_span(F.col("provenance.span_id"))
+    c = table(spark, d, "claims", "claim_id", p.alias("p"), ids.scope_id(F.col("provenance.span_id")).alias("scope_id"), F.col("provenance.scope_id").alias("given"))
+    return c.select("claim_id", "p.section", "p.paragraph", F.col("p.offset").alias("char_offset"), "scope_id", (F.col("scope_id") == F.col("given")).alias("round_trip")).distinct()
+
+
+def content_ids(spark, d):
+    c = claim_view(spark, d)
+    return c.select("claim_id", ids.content_id("clm", F.col("paper_id"), F.col("type"), F.col("span_id"), F.col("value")).alias("content_id"), ids.cluster_id(F.col("type"), F.col("name_key")).alias("cluster_id"))
+
+
+def claims_once(spark, d):
+    return claims.once(table(spark, d, "claims", "claim_id", "paper_id", "type", "status", "value", "confidence", "loaded_at"))
+
+
+def numeric_literals(spark, d):
+    nums = text.numbers_in(F.col("quote"))
+    return claim_view(spark, d).where("quote is not null").select("claim_id", F.size(nums).alias("n_numbers"), F.coalesce(F.array_max(nums), F.lit(0.0)).alias("largest"))
+
+
+def citation_keys(spark, d):
+    return _documents(spark, d).select("doc_id", F.explode(text.citation_keys(F.col("text"))).alias("ref_key")).groupBy("doc_id", "ref_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def find_span(spark, d):
+    items = table(spark, d, "eval_items", "item_id", F.substring("text", 1, 80).alias("needle")).withColumn("scope", F.lit("all"))
+    docs = _documents(spark, d).select("doc_id", "text", F.lit("all").alias("scope"))
+    return documents.find_spans(items, docs, "scope", "item_id", "doc_id")
+
+
+def latex_sections(spark, d):
+    title = F.regexp_extract("text", r"\\section\*?\{([^{}]*)\}", 1)
+    return _documents(spark, d).where(F.col("text").contains("\\section")).select("doc_id", text.tex_plain(title).alias("title"))
+
+
+def latex_equations(spark, d):
+    e = latex.equations(_documents(spark, d), "doc_id", F.col("text"))
+    return e.select("doc_id", "equation_index", "latex")
+
+
+def formula_quality(spark, d):
+    e = latex.equations(_documents(spark, d), "doc_id", F.col("text"))
+    return e.select("doc_id", "equation_index", F.coalesce(text.formula_quality(F.col("latex")), F.lit("fine")).alias("quality"))
+
+
+def reference_entries(spark, d):
+    return documents.references(_documents(spark, d))
+
+
+def suspect_math_lines(spark, d):
+    return documents.suspect_math_lines(_documents(spark, d))
+
+
+def section_triage(spark, d):
+    return documents.triage(_documents(spark, d), "result")
+
+
+def batch_packing(spark, d):
+    return documents.pack(_documents(spark, d))
+
+
+def read_candidates(spark, d):
+    return claims.read_candidates(table(spark, d, "claim_candidates")).select("record_id", F.col("reply").isNotNull().alias("readable"), "canonical_name", "value_type")
+
+
+def admitted(spark, d):
+    return claims.admit(table(spark, d, "claim_candidates")).groupBy(F.coalesce("reject_reason", F.lit("admitted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def extraction_confidence(spark, d):
+    p = table(spark, d, "papers", "paper_id", "math_fidelity")
+    rate = F.lit(0.8)
+    for k, v in FIDELITY_CONFIDENCE.items():
+        rate = F.when(F.col("math_fidelity") == k, v).otherwise(rate)
+    return p.select("paper_id", rate.alias("confidence"))
+
+
+def canonicalized_names(spark, d):
+    return claim_view(spark, d).groupBy("name_key").agg(F.count(F.lit(1)).alias("n_claims"), F.count_distinct("canonical_name").alias("n_spellings"))
+
+
+def range_check(spark, d):
+    return claims.range_check(claim_view(spark, d)).select("claim_id", "range_result")
+
+
+def numeric_literal_check(spark, d):
+    return claims.numeric_check(claim_view(spark, d)).select("claim_id", "numeric_result")
+
+
+def internal_consistency(spark, d):
+    return claims.scope_findings(claim_view(spark, d))
+
+
+def _verified(spark, d):
+    return claims.verify(claims.numeric_check(claims.range_check(claim_view(spark, d))))
+
+
+def verify_status(spark, d):
+    return _verified(spark, d).select("claim_id", "new_status", "failed_check", F.round("new_confidence", 3).alias("new_confidence"))
+
+
+def verification_report(spark, d):
+    return claims.verification_report(_verified(spark, d)).withColumn("rejection_rate", F.round("rejection_rate", 6))
+
+
+def self_consistency_vote(spark, d):
+    c = claim_view(spark, d).withColumn("pass", F.instr(F.lit("0123456789abcdef"), F.substring("claim_id", -1, 1)) % 3)
+    return claims.vote(c, 3).select("paper_id", "type", "name_key", "value_key", "claim_id", "self_consistency")
+
+
+def judged_claims(spark, d):
+    verdicts = table(spark, d, "claims", "claim_id", (F.col("verification.citation_trace") == "pass").alias("entailed")).where("entailed")
+    return claims.judged(claim_view(spark, d), verdicts).groupBy("type").agg(F.count_if("entailed").alias("entailed"), F.count_if(~F.col("entailed")).alias("not_entailed"))
+
+
+def alignment_blocks(spark, d):
+    return align.blocks(claim_view(spark, d))
+
+
+def usual_names(spark, d):
+    return align.usual_name(claim_view(spark, d), ["name_key"], "canonical_name")
+
+
+def symbol_map(spark, d):
+    return align.symbol_map(claim_view(spark, d))
+
+
+def single_paper_keys(spark, d):
+    return align.single_paper_keys(claim_view(spark, d))
+
+
+def paper_components(spark, d):
+    """Papers linked by a symbol they share with the first paper that uses it for the same name."""
+    c = claim_view(spark, d).where("status = 'verified' and trim(paper_symbol) <> '' and cond <> ''").select("paper_id", F.concat_ws("|", "paper_symbol", "name_key", "cond").alias("k")).distinct()
+    first = c.groupBy("k").agg(F.min("paper_id").alias("hub"))
+    return align.connected_components(c.join(first, "k").select(F.col("paper_id").alias("a"), F.col("hub").alias("b")))
+
+
+def cluster_split(spark, d):
+    c = claim_view(spark, d).where("status = 'verified'").select(ids.cluster_id(F.col("type"), F.col("name_key")).alias("cluster_id"), "claim_id", F.col("applies_to").alias("label"))
+    labels = c.where("label <> 'global'")
+    return align.split_clusters(c.select("cluster_id", "claim_id"), labels).groupBy("cluster_id").agg(F.count_distinct("child_id").alias("n_children"), F.count(F.lit(1)).alias("n_claims"))
+
+
+def value_conflict(spark, d):
+    return _conflicts(spark, d).select("contradiction_id", "cluster_id", "severity", "name_key", "cond", "unit_key", "n_values")
+
+
+def value_conflict_severity(spark, d):
+    return _conflicts(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def result_conflict(spark, d):
+    return conflicts.result_conflicts(claim_view(spark, d))
+
+
+def method_conflict(spark, d):
+    return conflicts.method_conflicts(claim_view(spark, d))
+
+
+def definition_conflict(spark, d):
+    return conflicts.definition_conflicts(claim_view(spark, d))
+
+
+def specificity(spark, d):
+    return claim_view(spark, d).select("claim_id", conflicts.specificity(F.col("condition"), F.col("applies_to"), F.col("stated_explicitly")).alias("specificity"))
+
+
+def paper_support(spark, d):
+    return _positions(spark, d).select("contradiction_id", "claim_id", "paper_id", "position", "venue", "year", "peer_reviewed")
+
+
+def policy_resolve(spark, d):
+    return _resolved(spark, d).select("contradiction_id", "severity", "rule_fired", "outcome", "selected_claim_id")
+
+
+def policy_by_rule(spark, d):
+    return _resolved(spark, d).groupBy(F.coalesce("rule_fired", F.lit("none")).alias("rule"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def human_upsert(spark, d):
+    r = _resolved(spark, d)
+    decisions = r.where("severity = 'BLOCKING'").select("contradiction_id", F.array_min(F.transform("positions", lambda p: p["claim_id"])).alias("selected_claim_id"))
+    return policy.decided(r, decisions)
+
+
+def gap_checklist(spark, d):
+    return gaps.gaps(claim_view(spark, d))
+
+
+def gap_summary(spark, d):
+    return gaps.gap_summary(gaps.gaps(claim_view(spark, d)))
+
+
+def gap_ablation(spark, d):
+    return gaps.ablation(claim_view(spark, d))
+
+
+def stripped_questions(spark, d):
+    return table(spark, d, "spec_gaps", "gap_id", text.strip_suggestion(F.concat("question", F.lit(" We suggest a default. It is open."))).alias("question")).distinct()
+
+
+def merge_agreeing(spark, d):
+    return synthesis.merge_agreeing(claim_view(spark, d))
+
+
+def superseded(spark, d):
+    r = _resolved(spark, d).select("contradiction_id", "outcome", "selected_claim_id")
+    return synthesis.superseded(claim_view(spark, d), r)
+
+
+def spec_components(spark, d):
+    view, found = claim_view(spark, d), _conflicts(spark, d)
+    r = _resolved(spark, d).select("contradiction_id", "outcome", "selected_claim_id")
+    return synthesis.components(view, synthesis.disputed_scopes(found, r), synthesis.superseded(view, r)).select("component_id", "name_key", "cond", "value_key", "exemplar", "n_refs", "n_papers")
+
+
+def expected_results(spark, d):
+    return synthesis.expected_results(claim_view(spark, d))
+
+
+def assumptions(spark, d):
+    return synthesis.assumptions(claim_view(spark, d))
+
+
+def provenance_closure(spark, d):
+    view = claim_view(spark, d)
+    return synthesis.provenance_closure(synthesis.merge_agreeing(view), view)
+
+
+def dag_cycle(spark, d):
+    """Suppliers and customers by nation as a graph: links go on where both ways are traded."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_suppkey")
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    s, c = table(spark, d, "supplier", "s_suppkey", "s_nationkey"), table(spark, d, "customer", "c_custkey", "c_nationkey")
+    edges = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    links = edges.select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).where("source <> target").distinct()
+    return synthesis.cycle_members(links)
+
+
+def blocking_gate(spark, d):
+    return synthesis.blocking(_conflicts(spark, d), _resolved(spark, d).select("contradiction_id", "outcome"))
+
+
+def ledger_summary(spark, d):
+    return operations.ledger_summary(_ledger(spark, d), "provider").withColumn("tokens", F.round("tokens", 2))
+
+
+def quota_headroom(spark, d):
+    limits = spark.createDataFrame([("view", 80), ("click", 60), ("error", 50)], "provider string, daily_limit int")
+    return operations.quota_headroom(_ledger(spark, d), limits)
+
+
+def provider_fallback(spark, d):
+    ledger = _ledger(spark, d)
+    legs = spark.createDataFrame([("main", 1, "view"), ("main", 2, "click"), ("main", 3, "signup")], "route string, leg int, provider string")
+    limits = spark.createDataFrame([("view", 80), ("click", 60)], "provider string, daily_limit int")
+    quota = operations.quota_headroom(ledger, limits).select("provider", "day", F.coalesce("exhausted", F.lit(False)).alias("exhausted"))
+    requests = ledger.where("failed").select(F.col("event_id").alias("request_id"), F.to_date("ts").alias("day"), F.lit("main").alias("route"))
+    return operations.first_eligible(requests, legs, quota)
+
+
+def text_coverage(spark, d):
+    docs = _documents(spark, d)
+    hit = F.col("section").rlike("(?i)(result|experiment|setup)")
+    n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
+    return operations.coverage(docs.select("paper_id", F.when(hit, n).otherwise(0).alias("read_chars"), n.alias("all_chars")), "paper_id")
+
+
+def cache_misses(spark, d):
+    ledger = _ledger(spark, d)
+    return operations.cache_misses(ledger.where("not cached").select("prompt_hash"), ledger.where("cached").select("prompt_hash"))
+
+
+def daily_ledger(spark, d):
+    return daily_usage(table(spark, d, "events", "ts", "event_type", "value")).withColumn("amount", F.round("amount", 2))
+
+
+def value_keys(spark, d):
+    return claim_view(spark, d).groupBy("value_type").agg(F.count_distinct("value_key").alias("n_keys"), F.count("value_num").alias("n_numeric"))
+
+
+QUERIES: list[Query] = [
+    value_conflict, value_conflict_severity, result_conflict, method_conflict, definition_conflict, specificity, paper_support,
+    quote_hash_dups, normalized_texts, paragraph_spans, slugs, span_parts, content_ids, claims_once, value_keys,
+    numeric_literals, citation_keys, find_span, latex_sections, latex_equations, formula_quality, reference_entries, suspect_math_lines, section_triage, batch_packing,
+    read_candidates, admitted, extraction_confidence, canonicalized_names, range_check, numeric_literal_check, internal_consistency, verify_status, verification_report, self_consistency_vote, judged_claims,
+    alignment_blocks, usual_names, symbol_map, single_paper_keys, paper_components, cluster_split,
+    policy_resolve, policy_by_rule, human_upsert, gap_checklist, gap_summary, gap_ablation, stripped_questions,
+    merge_agreeing, superseded, spec_components, expected_results, assumptions, provenance_closure, dag_cycle, blocking_gate,
+    ledger_summary, quota_headroom, provider_fallback, text_coverage, cache_misses, daily_ledger,
+    p2_found, p2_amounts, p5_found,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES}
