@@ -30,7 +30,7 @@ SHORT = 4
 MOST_ORDERED = 4
 
 # Remarks around a name.
-BEFORE = r"^(?:\s+|\d+\s*[).:]\s*|[^\w\s(\[]+|(?:cfg|config|conf|args|opts|hp|hparams?|params?|model)\s*[._:]\s*|(?:the|our|a|an|my|this)\s+)"
+BEFORE = r"^(?:\s+|\d+\s*[).:]\s*|[^\w\s(\[]+|(?:cfg|config|conf|args|opts|params?|model)\s*[.:]\s*|(?:hp|hparams?)\s*[._:]\s*|(?:the|our|a|an|my|this)\s+)"
 AFTER = r"(?:\s+|\([^()]*\)|\[[^\[\]]*\]|[=:]\s*[^=:]*|,?\s*\bpp?\.\s*\d+|[^\w\s)\]]+|\s(?:used|values?|settings?))$"
 
 
