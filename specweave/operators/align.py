@@ -61,7 +61,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     all_edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = all_edges.select("u").union(all_edges.select("v")).distinct()
     links = cut(all_edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
+    before = (0, None)
+    if links.isEmpty():
+        return nodes.select(F.col("u").alias("node"), F.col("u").alias("component"))
     for _ in range(most_rounds):
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -69,7 +71,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         low2 = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
         links = cut(small.where("u <> v").distinct(), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now

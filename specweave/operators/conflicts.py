@@ -15,6 +15,7 @@ from specweave.functions.ids import cluster_id, contradiction_id
 from specweave.functions.values import digits
 from specweave.operators.align import connected_components
 from specweave.operators.rules import REVIEWED, STRUCTURAL, STRUCTURAL_PROBLEMS
+from specweave.session import cut
 
 COSMETIC, RATIO = 1e-9, 10.0
 APPROACH_CUT, CRITERION_CUT = 90.0, 88.0
@@ -105,7 +106,7 @@ def same_approach(texts: DataFrame, scope: list[str], text: str, cut_at: float =
     """``(*scope, text, answer)``: near-identical texts of a scope share the alphabetically first.
 
     Only distinct texts of one scope meet, each pair once; connected pairs are one answer."""
-    forms = texts.select(*scope, text).distinct().withColumn("forms", approach_forms(F.col(text)))
+    forms = cut(texts.select(*scope, text).distinct().withColumn("forms", approach_forms(F.col(text))), "forms")
     left, right = forms.select(*scope, F.col(text).alias("l"), F.col("forms").alias("lf")), forms.select(*scope, F.col(text).alias("r"), F.col("forms").alias("rf"))
     pairs = left.join(right, scope).where("l < r").select(*scope, "l", "r", F.explode("lf").alias("x"), "rf").select(*scope, "l", "r", "x", F.explode("rf").alias("y"))
     near = pairs.where(similarity(F.col("x"), F.col("y")) >= cut_at).select(*scope, "l", "r").distinct()
@@ -118,7 +119,7 @@ def same_approach(texts: DataFrame, scope: list[str], text: str, cut_at: float =
 def _text_conflicts(claims: DataFrame, kind: str, cut_at: float, severity: Column) -> DataFrame:
     scope = ["name_key", "cond"]
     v = claims.where((F.col("status") == "verified") & (F.col("type") == kind) & (F.trim("value") != "")).withColumn("text", F.lower(F.trim(F.regexp_replace("value", r"\s+", " "))))
-    answers = v.groupBy(*scope, "text").agg(F.min("claim_id").alias("claim_id"), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi"))
+    answers = cut(v.groupBy(*scope, "text").agg(F.min("claim_id").alias("claim_id"), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi")), "answers")
     merged = answers.join(same_approach(answers, scope, "text", cut_at), [*scope, "text"]).groupBy(*scope, "answer").agg(F.min("claim_id").alias("claim_id"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi"))
     g = merged.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("claim_id", "answer"))).alias("positions"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")).where("size(positions) >= 2 and p_lo <> p_hi")
     cluster = cluster_id(F.lit(kind), F.col("name_key"))

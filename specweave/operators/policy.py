@@ -67,20 +67,32 @@ def resolve(conflicts: DataFrame, rules: Sequence[tuple] = POLICY) -> DataFrame:
     for r in rules:
         if r[2] not in PREDICATES or (r[4] is not None and r[4] not in SELECTORS):
             raise ValueError(f"rule {r[0]} names an unknown predicate or selector")
-    fired = action = choice = human = None
-    for name, types, predicate, act, selector, asks in rules:
-        hit = F.col("conflict_type").isin(list(types)) & F.coalesce(PREDICATES[predicate](), F.lit(False))
-        pick = SELECTORS[selector]() if selector else F.lit(None).cast("string")
-        fired = F.when(hit, name) if fired is None else fired.when(hit, name)
-        action = F.when(hit, act) if action is None else action.when(hit, act)
-        choice = F.when(hit, pick) if choice is None else choice.when(hit, pick)
-        human = F.when(hit, asks) if human is None else human.when(hit, asks)
-    out = conflicts.withColumns({"rule_fired": fired, "_action": F.coalesce(action, F.lit("ESCALATED")), "_choice": choice, "_human": F.coalesce(human, F.lit(False))})
-    explicit = F.exists("positions", lambda p: (p["claim_id"] == F.col("_choice")) & p["stated_explicitly"])
-    escalate = (F.col("_action") == "ESCALATED") | (F.col("severity") == "BLOCKING") | F.col("_choice").isNull() | ~F.coalesce(explicit, F.lit(False))
-    outcome = F.when(escalate, "ESCALATED").when(F.col("_human"), "DEFERRED").otherwise(F.col("_action"))
-    chosen = F.when(~escalate, F.col("_choice"))
-    return out.withColumns({"outcome": outcome, "selected_claim_id": chosen}).drop("_action", "_choice", "_human")
+    at = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), k)
+    hits = F.array(*(F.col("conflict_type").isin(list(r[1])) & F.coalesce(PREDICATES[r[2]](), F.lit(False)) for r in rules))
+    used = sorted({r[4] for r in rules if r[4]})
+
+    def chosen(k: Column) -> Column:
+        name, out = at([r[4] or "" for r in rules], k), F.lit(None).cast("string")
+        for s in used:
+            out = F.when(name == s, SELECTORS[s]()).otherwise(out)
+        return out
+
+    def decision(k: Column, choice: Column) -> Column:
+        action = at([r[3] for r in rules], k)
+        explicit = F.exists("positions", lambda p: (p["claim_id"] == choice) & p["stated_explicitly"])
+        escalate = (action == "ESCALATED") | (F.col("severity") == "BLOCKING") | choice.isNull() | ~F.coalesce(explicit, F.lit(False))
+        outcome = F.when(escalate, "ESCALATED").when(at([bool(r[5]) for r in rules], k), "DEFERRED").otherwise(action)
+        return F.struct(at([r[0] for r in rules], k).alias("rule"), outcome.alias("outcome"), F.when(~escalate, choice).alias("choice"))
+
+    none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit("ESCALATED").alias("outcome"), F.lit(None).cast("string").alias("choice"))
+    # Each part is bound to a variable and so computed once, whatever is made of it later.
+    d = _bound(F.array_position(hits, True).cast("int"), lambda k: F.when(k == 0, none).otherwise(_bound(chosen(F.greatest(k, F.lit(1))), lambda c: decision(F.greatest(k, F.lit(1)), c))))
+    out = conflicts.withColumn("_d", d)
+    return out.withColumns({"rule_fired": F.col("_d.rule"), "outcome": F.col("_d.outcome"), "selected_claim_id": F.col("_d.choice")}).drop("_d")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def decided(resolutions: DataFrame, decisions: DataFrame) -> DataFrame:

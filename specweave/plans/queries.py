@@ -12,7 +12,7 @@ from specweave.operators import align, claims, conflicts, documents, gaps, opera
 from specweave.operators.rules import FIDELITY_CONFIDENCE
 from specweave.operators.snapshots import snapshot_changes
 from specweave.operators.units import convert_units, mixed_amounts
-from specweave.session import table
+from specweave.session import cut, table
 from specweave.sources import latex
 from specweave.streaming.ledger import daily_usage
 
@@ -26,6 +26,11 @@ def claim_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.typed(claims.canonical_names(flat))
 
 
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claim view as a stage table, where a query reads it more than once."""
+    return cut(claim_view(spark, sf_dir), "claims")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "paper_id", "section", "text")
 
@@ -34,13 +39,13 @@ def _conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.value_conflicts(claim_view(spark, sf_dir))
 
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.positions_with_support(_conflicts(spark, sf_dir), table(spark, sf_dir, "papers", "paper_id", "venue", "year"))
+def _positions(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return conflicts.positions_with_support(_conflicts(spark, sf_dir) if found is None else found, table(spark, sf_dir, "papers", "paper_id", "venue", "year"))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """Conflicts with supported positions, resolved by the rule table."""
-    pos = _positions(spark, sf_dir).withColumn("is_primary", F.lit(False))
+    pos = _positions(spark, sf_dir, found).withColumn("is_primary", F.lit(False))
     fields = F.struct("claim_id", "paper_id", "position", "specificity", "stated_explicitly", "has_condition", "is_primary", "year", "peer_reviewed")
     packed = pos.groupBy("contradiction_id", "conflict_type", "severity").agg(F.array_sort(F.collect_list(fields)).alias("positions"))
     return policy.resolve(packed)
@@ -201,7 +206,7 @@ def judged_claims(spark, d):
 
 
 def alignment_blocks(spark, d):
-    return align.blocks(claim_view(spark, d))
+    return align.blocks(_staged(spark, d))
 
 
 def usual_names(spark, d):
@@ -224,7 +229,7 @@ def paper_components(spark, d):
 
 
 def cluster_split(spark, d):
-    c = claim_view(spark, d).where("status = 'verified'").select(ids.cluster_id(F.col("type"), F.col("name_key")).alias("cluster_id"), "claim_id", F.col("applies_to").alias("label"))
+    c = cut(claim_view(spark, d).where("status = 'verified'").select(ids.cluster_id(F.col("type"), F.col("name_key")).alias("cluster_id"), "claim_id", F.col("applies_to").alias("label")), "members")
     labels = c.where("label <> 'global'")
     return align.split_clusters(c.select("cluster_id", "claim_id"), labels).groupBy("cluster_id").agg(F.count_distinct("child_id").alias("n_children"), F.count(F.lit(1)).alias("n_claims"))
 
@@ -266,21 +271,21 @@ def policy_by_rule(spark, d):
 
 
 def human_upsert(spark, d):
-    r = _resolved(spark, d)
+    r = cut(_resolved(spark, d), "resolutions")
     decisions = r.where("severity = 'BLOCKING'").select("contradiction_id", F.array_min(F.transform("positions", lambda p: p["claim_id"])).alias("selected_claim_id"))
     return policy.decided(r, decisions)
 
 
 def gap_checklist(spark, d):
-    return gaps.gaps(claim_view(spark, d))
+    return gaps.gaps(_staged(spark, d))
 
 
 def gap_summary(spark, d):
-    return gaps.gap_summary(gaps.gaps(claim_view(spark, d)))
+    return gaps.gap_summary(gaps.gaps(_staged(spark, d)))
 
 
 def gap_ablation(spark, d):
-    return gaps.ablation(claim_view(spark, d))
+    return gaps.ablation(_staged(spark, d))
 
 
 def stripped_questions(spark, d):
@@ -292,13 +297,15 @@ def merge_agreeing(spark, d):
 
 
 def superseded(spark, d):
-    r = _resolved(spark, d).select("contradiction_id", "outcome", "selected_claim_id")
-    return synthesis.superseded(claim_view(spark, d), r)
+    view = _staged(spark, d)
+    r = _resolved(spark, d, conflicts.value_conflicts(view)).select("contradiction_id", "outcome", "selected_claim_id")
+    return synthesis.superseded(view, r)
 
 
 def spec_components(spark, d):
-    view, found = claim_view(spark, d), _conflicts(spark, d)
-    r = _resolved(spark, d).select("contradiction_id", "outcome", "selected_claim_id")
+    view = _staged(spark, d)
+    found = cut(conflicts.value_conflicts(view), "conflicts")
+    r = cut(_resolved(spark, d, found).select("contradiction_id", "outcome", "selected_claim_id"), "resolutions")
     return synthesis.components(view, synthesis.disputed_scopes(found, r), synthesis.superseded(view, r)).select("component_id", "name_key", "cond", "value_key", "exemplar", "n_refs", "n_papers")
 
 
@@ -311,7 +318,7 @@ def assumptions(spark, d):
 
 
 def provenance_closure(spark, d):
-    view = claim_view(spark, d)
+    view = _staged(spark, d)
     return synthesis.provenance_closure(synthesis.merge_agreeing(view), view)
 
 
@@ -326,7 +333,8 @@ def dag_cycle(spark, d):
 
 
 def blocking_gate(spark, d):
-    return synthesis.blocking(_conflicts(spark, d), _resolved(spark, d).select("contradiction_id", "outcome"))
+    found = cut(_conflicts(spark, d), "conflicts")
+    return synthesis.blocking(found, _resolved(spark, d, found).select("contradiction_id", "outcome"))
 
 
 def ledger_summary(spark, d):

