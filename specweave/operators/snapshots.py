@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from specweave.session import cut
+
 #: Hash bits that choose the leaf, and bits from a level to the next. 2**12 ranges a snapshot and
 #: kind keep a leaf at a few thousand entries for snapshots of ten million.
 LEAF_BITS = 12
@@ -40,7 +42,7 @@ def _entries(df: DataFrame, kind: str, item: Column, value: Column) -> DataFrame
 
 
 def snapshot_entries(values: DataFrame, conflicts: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row per (spec, snapshot, kind, item) with a value digest and its hash bucket.
+    """One row per (spec, snapshot, kind, item) with a digest of its value and the item's hash.
 
     Repeated rows count once; an item given with several values in one snapshot stands for the set.
     """
@@ -49,21 +51,19 @@ def snapshot_entries(values: DataFrame, conflicts: DataFrame, gaps: DataFrame) -
     c = _entries(conflicts, "conflict", F.col("contradiction_id"), F.lit(""))
     g = _entries(gaps, "gap", F.col("field"), F.lit(""))
     rows = v.unionAll(c).unionAll(g).where("spec_id is not null and snapshot_no is not null and item is not null")
-    # Sums of hashes over distinct values do not depend on order and combine before the shuffle.
-    one = rows.groupBy("spec_id", "snapshot_no", "kind", "item", "val").agg(F.lit(1).alias("one"))
-    digest = F.sum(F.xxhash64("val").cast("decimal(38,0)")).alias("vd")
-    same = one.groupBy("spec_id", "snapshot_no", "kind", "item").agg(digest)
-    return same.withColumn("bucket", F.shiftrightunsigned(F.xxhash64("item"), 64 - LEAF_BITS))
+    digest = F.xxhash64(F.array_sort(F.collect_set("val"))).alias("vd")
+    return rows.groupBy("spec_id", "snapshot_no", "kind", "item").agg(digest).withColumn("ih", F.xxhash64("item"))
 
 
-def _sides(nodes: DataFrame, steps: DataFrame, on: list[str]) -> DataFrame:
-    """Old and new nodes of each step side by side, as one aggregation: no join of a snapshot with
-    itself. A node of snapshot n is the new side of step n and the old side of the step after it."""
-    new = nodes.join(steps.select("spec_id", "snapshot_no", F.col("snapshot_no").alias("step")), ["spec_id", "snapshot_no"])
-    old = nodes.join(steps.select("spec_id", F.col("prev_no").alias("snapshot_no"), F.col("snapshot_no").alias("step")), ["spec_id", "snapshot_no"])
-    return new.withColumn("is_new", F.lit(True)).unionAll(old.withColumn("is_new", F.lit(False))).groupBy("spec_id", "step", *on).agg(
-        F.max(F.when(F.col("is_new"), F.col("digest"))).alias("now"), F.max(F.when(~F.col("is_new"), F.col("digest"))).alias("before")
-    )
+def _both_sides(entries: DataFrame, values: DataFrame) -> DataFrame:
+    """Entries by comparison: those of a snapshot are the new side of its own step and the old side
+    of the next one's."""
+    steps = consecutive(values)
+    turn = F.struct(F.col("snapshot_no").alias("step"), F.lit(True).alias("is_new"))
+    new = steps.select("spec_id", "snapshot_no", turn.alias("t"))
+    old = steps.select("spec_id", F.col("prev_no").alias("snapshot_no"), F.struct(F.col("snapshot_no").alias("step"), F.lit(False).alias("is_new")).alias("t"))
+    turns = new.unionAll(old).groupBy("spec_id", "snapshot_no").agg(F.collect_list("t").alias("turns"))  # two at most
+    return entries.join(turns, ["spec_id", "snapshot_no"]).select("spec_id", F.inline("turns"), "kind", "item", "ih", "vd")
 
 
 def snapshot_changes(values: DataFrame, conflicts: DataFrame, gaps: DataFrame, leaf_bits: int = LEAF_BITS, level_bits: int = LEVEL_BITS) -> DataFrame:
@@ -75,25 +75,26 @@ def snapshot_changes(values: DataFrame, conflicts: DataFrame, gaps: DataFrame, l
     empty one. Rows without spec, number or item are left out; load times do not matter; empty tables
     give an empty result; other columns are not read.
     """
-    steps = consecutive(values)
-    entries = snapshot_entries(values, conflicts, gaps)
-    if leaf_bits != LEAF_BITS:
-        entries = entries.withColumn("bucket", F.shiftrightunsigned(F.xxhash64("item"), 64 - leaf_bits))
-    row_digest = F.xxhash64("item", "vd").cast("decimal(38,0)")
-    leaf = entries.groupBy("spec_id", "snapshot_no", "kind", "bucket").agg(F.sum(row_digest).alias("digest"))
+    sides = cut(_both_sides(snapshot_entries(values, conflicts, gaps), values), "entries")
+    bucket = F.shiftrightunsigned("ih", 64 - leaf_bits)
+    # A node's digest is the exclusive or of its entries' hashes, with their number: free of order,
+    # combined before the shuffle. Entries are distinct, so none cancels another.
+    one = F.xxhash64("ih", "vd", "item")
+    side = lambda x: F.when(F.col("is_new") == x, one)
+    leaf = sides.groupBy("spec_id", "step", "kind", bucket.alias("bucket")).agg(F.bit_xor(side(True)).alias("now"), F.count(side(True)).alias("n_now"), F.bit_xor(side(False)).alias("before"), F.count(side(False)).alias("n_before"))
+    leaf = cut(leaf, "leaves")
     differing = None
     for bits in range(0, leaf_bits + 1, level_bits):
         node = F.shiftright("bucket", leaf_bits - bits)
-        level = leaf.groupBy("spec_id", "snapshot_no", "kind", node.alias("node")).agg(F.sum("digest").alias("digest"))
-        both = _sides(level, steps, ["kind", "node"])
+        level = leaf.groupBy("spec_id", "step", "kind", node.alias("node")).agg(F.bit_xor("now").alias("now"), F.sum("n_now").alias("n_now"), F.bit_xor("before").alias("before"), F.sum("n_before").alias("n_before"))
+        level = level.where("not (now <=> before) or n_now <> n_before")
         if differing is not None:
             parent = differing.withColumnRenamed("node", "parent")
-            both = both.withColumn("parent", F.shiftright("node", level_bits)).join(parent, ["spec_id", "step", "kind", "parent"], "left_semi")
-        differing = both.where("not (now <=> before)").select("spec_id", "step", "kind", "node")
-    inner = entries.withColumn("digest", F.col("vd")).withColumnRenamed("bucket", "node")
-    touched = _sides(inner, steps, ["kind", "node", "item"]).join(differing, ["spec_id", "step", "kind", "node"], "left_semi")
+            level = level.withColumn("parent", F.shiftright("node", level_bits)).join(parent, ["spec_id", "step", "kind", "parent"], "left_semi")
+        differing = level.select("spec_id", "step", "kind", "node")
+    touched = sides.withColumn("node", bucket).join(differing, ["spec_id", "step", "kind", "node"], "left_semi")
+    items = touched.groupBy("spec_id", "step", "kind", "item").agg(F.max(F.when(F.col("is_new"), F.col("vd"))).alias("now"), F.max(F.when(~F.col("is_new"), F.col("vd"))).alias("before"))
     opened = F.when(F.col("kind") == "value", "value_added").otherwise(F.concat("kind", F.lit("_opened")))
     closed = F.when(F.col("kind") == "value", "value_removed").otherwise(F.concat("kind", F.lit("_closed")))
     what = F.when(F.col("before").isNull(), opened).when(F.col("now").isNull(), closed).otherwise("value_changed")
-    return touched.where("not (now <=> before)").select("spec_id", F.col("step").cast(values.schema["snapshot_no"].dataType).alias("snapshot_no"), what.alias("change_kind"), "item")
-
+    return items.where("not (now <=> before)").select("spec_id", F.col("step").alias("snapshot_no"), what.alias("change_kind"), "item")
