@@ -7,7 +7,6 @@ per row, so no Python string is made per row. Null rows are empty here; callers
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -115,8 +114,17 @@ def lower_table() -> np.ndarray:
     return char_table(_lower, np.uint32)
 
 
-def category(ch: str) -> str:
-    return unicodedata.category(ch)
+def word_runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked characters; a text's end is a border even between two."""
+    mark = np.zeros(inside.size + 2, bool)
+    mark[1:-1] = inside
+    first, last = mark[1:-1] & ~mark[:-2], mark[1:-1] & ~mark[2:]
+    inner = offs[1:-1]
+    inner = inner[(inner > 0) & (inner < inside.size)]
+    glued = inner[mark[inner + 1] & mark[inner]]
+    first[glued] = True
+    last[glued - 1] = True
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -147,10 +155,8 @@ def run_hashes(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
         return np.empty(0, np.uint64)
     longest = int((ends - starts).max())
     p = powers(base, 1 << max(6, (max(longest, 1) - 1).bit_length()))
-    keep = np.zeros(sym.size + 1, np.int64)
     lens = ends - starts
     total = int(lens.sum())
-    del keep
     firsts = np.zeros(len(starts), np.int64)
     np.cumsum(lens[:-1], out=firsts[1:])
     inside = np.arange(total, dtype=np.int64) - np.repeat(firsts, lens)

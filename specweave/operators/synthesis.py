@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from specweave.functions.ids import component_id, slugify
 from specweave.operators.rules import KNOWN_SETTINGS
@@ -107,5 +106,3 @@ def spec_document(spec_id: str, values: DataFrame, results: DataFrame, open_conf
         doc = doc.crossJoin(p)  # one row each
     return doc.select(F.lit("0.1.0").alias("spec_version"), F.lit(spec_id).alias("spec_id"), *doc.columns)
 
-
-SPEC_SCHEMA = T.StructType([T.StructField("spec_version", T.StringType(), False), T.StructField("spec_id", T.StringType(), False)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.functions import ids, text, values
+from specweave.functions import ids, text
 from specweave.operators import align, claims, conflicts, documents, gaps, operations, policy, synthesis
 from specweave.operators.rules import FIDELITY_CONFIDENCE
 from specweave.operators.snapshots import snapshot_changes
