@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.arrowtext import char_table, codepoints, lower_table, mix64, run_hashes, slices, to_strings
+from specweave.functions.arrowtext import char_table, codepoints, lower_table, mix64, run_hashes, slices
 from specweave.session import scan_width, schema_plus
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)

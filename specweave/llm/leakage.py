@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from specweave.functions.arrowtext import alnum_table, codepoints, lower_table, mix64, run_hashes, slices, to_strings
+from specweave.functions.arrowtext import alnum_table, codepoints, lower_table, mix64, run_hashes, slices, to_strings, word_runs
 from specweave.session import cut, scan_width, schema_plus
 
 PASSAGE_WORDS = 13
@@ -39,15 +39,7 @@ class Words:
         cps, offs = codepoints(col)
         self.rows = len(offs) - 1
         self.cps = lower_table()[cps]
-        is_word = np.zeros(cps.size + 1, np.int8)
-        is_word[:-1] = alnum_table()[cps]
-        edge = np.diff(is_word, prepend=np.int8(0))
-        # A text's end is a border even between two letters.
-        inner = offs[1:-1]
-        inner = inner[(inner > 0) & (inner < cps.size)]
-        glued = np.unique(inner[(is_word[inner] == 1) & (is_word[inner - 1] == 1)])
-        self.start = np.union1d(np.flatnonzero(edge == 1), glued)
-        self.end = np.union1d(np.flatnonzero(edge == -1), glued)
+        self.start, self.end = word_runs(alnum_table()[cps].astype(bool), offs)
         self.row = np.searchsorted(offs, self.start, "right") - 1
         self.hash = run_hashes(mix64(self.cps.astype(np.uint64) + np.uint64(1)), self.start, self.end, _WORD_BASE)
 

@@ -90,29 +90,37 @@ def look_form(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     count, start, flat, ccc, pairs, made = tables()
     if cps.size == 0 or (cps.min() >= 0x20 and cps.max() < 0x7F):
         return cps, offs
-    n = count[cps].astype(np.int64)
-    ends = np.cumsum(n)
-    offs = np.concatenate([[0], ends])[offs]
-    src = np.repeat(np.arange(cps.size), n)
-    inside = np.arange(src.size) - np.repeat(ends - n, n)
-    base = start[cps][src]
-    out = np.where(base > 0, flat[base + np.where(base > 0, inside, 0)], cps[src])
+    n = count[cps]
+    swapped = np.flatnonzero(start[cps])
+    if (n == 1).all():
+        out = cps.copy()
+        out[swapped] = flat[start[cps[swapped]]]
+    else:
+        ends = np.cumsum(n, dtype=np.int64)
+        offs = np.concatenate([[0], ends])[offs]
+        out = np.repeat(cps, n)
+        for k in range(int(n.max())):
+            at = swapped[n[swapped] > k]
+            out[ends[at] - n[at] + k] = flat[start[cps[at]] + k]
     # Canonical order: marks sorted by class behind their starter; rows begin anew.
     cls = ccc[out]
-    row = np.zeros(out.size + 1, np.int64)
-    np.add.at(row, offs[1:-1], 1)
-    row = np.cumsum(row)[:-1]
     if (cls > 0).any():
-        group = np.cumsum((cls == 0) | (np.diff(row, prepend=-1) > 0))
-        order = np.lexsort((cls, group))
-        out, cls = out[order], cls[order]
+        row = np.zeros(out.size + 1, np.int32)
+        np.add.at(row, offs[1:-1], 1)
+        row = np.cumsum(row, dtype=np.int32)[:-1]
+        if ((cls[1:] > 0) & (cls[:-1] > cls[1:])).any():
+            group = np.cumsum((cls == 0) | (np.diff(row, prepend=-1) > 0))
+            order = np.lexsort((cls, group))
+            out, cls = out[order], cls[order]
         # Composition: in each round every starter takes the first mark behind it that is not
         # blocked; a mark is blocked by one of the same class that stayed.
         for _ in range(8):
             nxt = np.flatnonzero((cls[1:] > 0) & (np.diff(row) == 0)) + 1
             if nxt.size == 0:
                 break
-            starter = np.maximum.accumulate(np.where(cls == 0, np.arange(out.size), -1))[nxt]
+            starter = nxt - 1
+            if (cls[starter] > 0).any():
+                starter = np.maximum.accumulate(np.where(cls == 0, np.arange(out.size), -1))[nxt]
             ok = (starter >= 0) & (row[np.maximum(starter, 0)] == row[nxt])
             ok &= (nxt - 1 == starter) | (cls[nxt - 1] < cls[nxt]) & (cls[nxt - 1] > 0)
             nxt, starter = nxt[ok], starter[ok]
@@ -133,6 +141,8 @@ def look_form(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _syllables(out: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hangul letters to syllables, by the standard's arithmetic: first + vowel, then + final."""
+    if not ((out >= 0x1100) & (out <= 0x11FF)).any():
+        return out, offs
     for last in (False, True):
         a, b = out[:-1].astype(np.int64), out[1:].astype(np.int64)
         if last:

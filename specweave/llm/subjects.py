@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.arrowtext import alnum_table, char_table, codepoints, lower_table, slices, to_strings
+from specweave.functions.arrowtext import alnum_table, char_table, codepoints, lower_table, slices, to_strings, word_runs
 from specweave.llm.lookform import look_form
 from specweave.session import cut, scan_width, schema_plus
 
@@ -51,19 +51,13 @@ class Sentences:
         cps, offs = _mended(cps, offs)
         cps, offs = look_form(cps, offs)
         low = lower_table()[cps]
-        kind = np.zeros(low.size + 1, np.int8)
-        kind[:-1] = alnum_table()[low]
-        edge = np.diff(kind, prepend=np.int8(0))
-        inner = offs[1:-1]
-        inner = inner[(inner > 0) & (inner < low.size)]
-        glued = np.unique(inner[(kind[inner] == 1) & (kind[inner - 1] == 1)])
-        start, end = np.union1d(np.flatnonzero(edge == 1), glued), np.union1d(np.flatnonzero(edge == -1), glued)
+        start, end = word_runs(alnum_table()[low].astype(bool), offs)
         letters = np.concatenate([[0], np.cumsum(char_table(_letter)[low])])
         pure = letters[end] - letters[start] == end - start
         start, end = start[pure], end[pure]
         space = np.ones(low.size + 1, bool)
         space[:-1] = low == 32
-        stop = np.isin(low, np.array([46, 33, 63, 59], np.uint32)) & space[1:] | np.isin(low, np.array([0x3002, 0xFF01, 0xFF1F], np.uint32))
+        stop = ((low == 46) | (low == 33) | (low == 63) | (low == 59)) & space[1:] | (low == 0x3002) | (low == 0xFF01) | (low == 0xFF1F)
         breaks = np.zeros(low.size + 1, np.int64)
         breaks[1:] = stop
         np.add.at(breaks, offs[1:-1], 1)
@@ -71,13 +65,13 @@ class Sentences:
         self.n_rows = n_rows
         row = np.searchsorted(offs, start, "right") - 1
         if raw.size:
-            _, own, size = np.unique(raw, return_inverse=True, return_counts=True)
+            own, size = _numbered(raw)
             wide = np.zeros(size.size, bool)
             wide[own[low[start] >= 0x2E80]] = True
             full = (wide | (size >= LEAST_WORDS))[own]
             raw, row, start, end = raw[full], row[full], start[full], end[full]
-        keys, self.sentence = np.unique(raw, return_inverse=True) if raw.size else (raw, raw)
-        self.row = np.zeros(keys.size, np.int64)
+        self.sentence, size = _numbered(raw)
+        self.row = np.zeros(size.size, np.int64)
         self.row[self.sentence] = row
         if start.size:
             lens = end - start
@@ -89,6 +83,13 @@ class Sentences:
             self.words, self.word = [], np.empty(0, np.int64)
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys numbered from 0, and how often each occurs."""
+    own = np.zeros(keys.size, np.int64)
+    own[1:] = np.cumsum(keys[1:] != keys[:-1])
+    return own, np.bincount(own) if keys.size else own
+
+
 def _mended(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words broken at a line's end put together; blank lines made ends of sentences."""
     if cps.size < 3:
@@ -125,6 +126,15 @@ def word_features(word: str) -> np.ndarray:
     return got
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by the index ``at``."""
+    return np.stack([np.bincount(at, rows[:, j], n) for j in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
 class Model:
     """Embeddings, outputs and biases, as one flat vector to be summed and stepped."""
 
@@ -142,54 +152,44 @@ class Model:
         self.b = flat[BUCKETS * DIM + n_subjects * DIM :]
 
     def forward(self, words: list[str], word: np.ndarray, sentence: np.ndarray, n: int):
+        """Logits of the sentences, and what the gradient needs of the way there. The output of an
+        average is the average of the words' outputs, so only those are spread over the tokens."""
         feats = [word_features(w) for w in words]
         size = np.array([f.size for f in feats])
-        at = np.cumsum(size) - size
         flat = np.concatenate(feats)
-        vec = np.add.reduceat(self.e[flat], at, axis=0) / size[:, None]
+        vec = np.add.reduceat(self.e[flat], np.cumsum(size) - size, axis=0) / size[:, None]
         first = np.searchsorted(sentence, np.arange(n))
         count = np.diff(np.append(first, sentence.size))
-        mean = np.add.reduceat(vec[word], first, axis=0) / count[:, None]
-        return mean, count, flat, size
+        z = np.add.reduceat((vec @ self.w.T)[word], first, axis=0) / count[:, None] + self.b
+        return z, vec, count, flat, size
 
     def logits(self, s: Sentences) -> np.ndarray:
-        if not s.words:
+        if not s.words or not s.row.size:
             return np.empty((0, self.k), np.float32)
-        mean = self.forward(s.words, s.word, s.sentence, s.row.size)[0]
-        return mean @ self.w.T + self.b
+        return self.forward(s.words, s.word, s.sentence, s.row.size)[0]
 
     def gradient(self, words: list[str], word: np.ndarray, sentence: np.ndarray, row: np.ndarray, labels: np.ndarray, teacher: Model | None) -> tuple[np.ndarray, float]:
         """Summed gradient over the sentences of labelled documents, and the loss."""
         n = row.size
-        mean, count, flat, size = self.forward(words, word, sentence, n)
-        p = _sigmoid(mean @ self.w.T + self.b)
+        z, vec, count, flat, size = self.forward(words, word, sentence, n)
+        p = _sigmoid(z)
         y = labels[row].astype(np.float32)
         if teacher is not None:
             # Of a label's sentences, those count in which the first model sees it, and none of the
             # document's other labels more clearly.
-            mine = y * _sigmoid(teacher.forward(words, word, sentence, n)[0] @ teacher.w.T + teacher.b)
+            mine = y * _sigmoid(teacher.forward(words, word, sentence, n)[0])
             y = ((mine >= SEEN) & (mine >= 0.8 * mine.max(axis=1, keepdims=True))).astype(np.float32)
         d = p - y
         loss = float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).sum())
         g = np.zeros_like(self.flat)
         out = Model(self.k, g)
-        out.w[:] = d.T @ mean
+        by_word = _scatter(word, (d / count[:, None])[sentence], len(words))
+        out.w[:] = by_word.T @ vec
         out.b[:] = d.sum(axis=0)
-        dm = (d @ self.w) / count[:, None]
-        dv = _scatter(word, dm[sentence], len(words)) / size[:, None]
-        out.e[:] = _scatter(flat, np.repeat(dv, size, axis=0), BUCKETS)
+        out.e[:] = _scatter(flat, np.repeat((by_word @ self.w) / size[:, None], size, axis=0), BUCKETS)
         return g, loss
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by the index ``at``."""
-    return np.stack([np.bincount(at, rows[:, j], n) for j in range(rows.shape[1])], axis=1).astype(np.float32)
-
-
 def training_table(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str) -> DataFrame:
     """Labelled documents cut into words and sentences, one row a slice of documents."""
     index = {s: i for i, s in enumerate(subjects)}
