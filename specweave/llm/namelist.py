@@ -177,13 +177,12 @@ def match_names(names: DataFrame, entries: DataFrame) -> DataFrame:
     spelled = e.join(cut_up, "spelling").select("name_id", "alias", F.col("words").alias("entry"), "grams", F.concat_ws("/", F.col("name_id").cast("string"), F.col("alias").cast("string"), "spelling").alias("sid"))
     spelled = spelled.where(F.size("entry") > 0)
     postings = spelled.select("sid", F.explode("grams").alias("gram"))
-    total = spelled.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    weights = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("gram", F.log(1 + F.col("n") / F.col("df")).alias("w"))
+    total = max(1, spelled.count())
+    weights = postings.groupBy("gram").agg(F.log(1 + F.lit(total) / F.count(F.lit(1))).alias("w"))
     weighted = postings.join(weights, "gram")
     norms = weighted.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("entry_norm"))
     split = scan_width(names.select("name")).mapInArrow(_split, _SPLIT)
-    rare = total.select(F.log(1 + F.col("n")).alias("rare"))
-    mine = split.select("name", F.explode("grams").alias("gram")).join(weights, "gram", "left").crossJoin(F.broadcast(rare)).withColumn("v", F.coalesce("w", "rare"))
+    mine = split.select("name", F.explode("grams").alias("gram")).join(weights, "gram", "left").withColumn("v", F.coalesce("w", F.log(F.lit(1.0 + total))))
     my_norms = mine.groupBy("name").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
     dots = mine.where("w is not null").join(postings, "gram").groupBy("name", "sid").agg(F.sum(F.col("w") ** 2).alias("dot"))
     score = F.col("dot") / (F.col("norm") * F.col("entry_norm"))
