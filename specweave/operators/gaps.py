@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave.functions.ids import gap_id
-from specweave.operators.rules import TRAINING, checklist_table
+from specweave.operators.rules import CHECKLIST, TRAINING, checklist_table
 
 
-def gaps(claims: DataFrame, per: str = "paper_id", checklist: DataFrame | None = None) -> DataFrame:
+def _needs(checklist: list[tuple]) -> Column:
+    """The checklist as one constant array: it is unfolded next to a row, never joined."""
+    return F.array(*(F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, names)).alias("any_of"), F.lit(c).alias("criticality")) for f, names, c in checklist))
+
+
+def gaps(claims: DataFrame, per: str = "paper_id", checklist: list[tuple] = CHECKLIST) -> DataFrame:
     """Fields of the checklist that no verified claim of a group supplies; a field is supplied by any
-    of its names. Groups without any training setting need none. The checklist is short and is
-    exploded against the groups, not the claims."""
-    spark = claims.sparkSession
-    needs = checklist if checklist is not None else checklist_table(spark)
+    of its names. Groups without any training setting need none."""
     trains = claims.where(F.col("name_key").isin(TRAINING)).select(per).distinct()
-    packed = needs.agg(F.collect_list(F.struct("field", "any_of", "criticality")).alias("needs"))
-    wanted = trains.crossJoin(F.broadcast(packed)).select(per, F.inline("needs"))  # one row of a few fields
+    wanted = trains.select(per, F.inline(_needs(checklist)))
     have = claims.where("status = 'verified'").select(per, "name_key").distinct()
     each = wanted.select(per, "field", "criticality", F.explode("any_of").alias("name_key"))
     met = each.join(have, [per, "name_key"], "left_semi").select(per, "field").distinct()
@@ -28,12 +29,12 @@ def gap_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("criticality").agg(F.count(F.lit(1)).alias("n_gaps"))
 
 
-def ablation(claims: DataFrame, checklist: DataFrame | None = None) -> DataFrame:
+def ablation(claims: DataFrame, checklist: list[tuple] = CHECKLIST) -> DataFrame:
     """Each field of the checklist taken away in turn: in how many groups that had it the gap appears.
 
     One aggregation over all trials: a group that supplies a field loses it in that field's trial, so
     the gap must appear wherever some other training setting is left."""
-    needs = checklist if checklist is not None else checklist_table(claims.sparkSession)
+    needs = checklist_table(claims.sparkSession, checklist)
     names = needs.select("field", F.explode("any_of").alias("name_key"))
     have = claims.where("status = 'verified'").groupBy("paper_id", "name_key").agg(F.lit(1).alias("one")).drop("one")
     per = claims.where(F.col("name_key").isin(TRAINING)).groupBy("paper_id").agg(F.collect_set("name_key").alias("training"))

@@ -99,4 +99,5 @@ def decided(resolutions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Resolutions with a human's decisions in their place: an upsert by contradiction_id."""
     mine = decisions.select("contradiction_id", F.lit("SELECTED").alias("outcome"), "selected_claim_id", F.lit("human").alias("resolved_by"))
     rest = resolutions.join(mine.select("contradiction_id"), "contradiction_id", "left_anti")
-    return rest.select("contradiction_id", "outcome", "selected_claim_id", F.lit("policy").alias("resolved_by")).unionByName(mine)
+    by = F.col("resolved_by") if "resolved_by" in rest.columns else F.lit("policy")
+    return rest.select("contradiction_id", "outcome", "selected_claim_id", by.alias("resolved_by")).unionByName(mine)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,10 +101,9 @@ def blocking(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
 def spec_document(spec_id: str, values: DataFrame, results: DataFrame, open_conflicts: DataFrame, gaps: DataFrame, papers: DataFrame) -> DataFrame:
     """The whole specification as one nested row, for writing as JSON. The parts are what a spec
     holds, not what the corpus holds."""
-    pack = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-    parts = [pack(values, "components"), pack(results, "expected_results"), pack(open_conflicts, "open_conflicts"), pack(gaps, "missing_but_critical"), pack(papers, "source_papers")]
-    doc = parts[0]
-    for p in parts[1:]:
-        doc = doc.crossJoin(p)  # one row each
-    return doc.select(F.lit("0.1.0").alias("spec_version"), F.lit(spec_id).alias("spec_id"), *doc.columns)
-
+    named = {"components": values, "expected_results": results, "open_conflicts": open_conflicts, "missing_but_critical": gaps, "source_papers": papers}
+    # Each part is packed into one row; the rows are then folded into one by an aggregation.
+    packed = [df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name)) for name, df in named.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    doc = rows.agg(*(F.first(name, ignorenulls=True).alias(name) for name in named))
+    return doc.select(F.lit("0.1.0").alias("spec_version"), F.lit(spec_id).alias("spec_id"), *named)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specweave.operators import align, claims, conflicts, gaps, policy, synthesis
 from specweave.plans.queries import claim_view
-from specweave.session import table
+from specweave.session import cut, table
 from specweave.sources.store import RunStore
 
 
@@ -57,6 +57,7 @@ def decide(spark: SparkSession, sf_dir: str, out: str, contradiction_id: str, cl
     if s["conflicts"].where((F.col("contradiction_id") == contradiction_id) & position).isEmpty():
         return False
     decisions = spark.createDataFrame([(contradiction_id, claim_id)], "contradiction_id string, selected_claim_id string")
-    s["resolutions"] = store.write("05_resolutions_decided", policy.decided(s["resolutions"], decisions))
+    # Written aside first: the stage's table is read while its successor is computed.
+    s["resolutions"] = store.write("05_resolutions", cut(policy.decided(s["resolutions"], decisions), "decided"))
     synthesize(spark, store, s, table(spark, sf_dir, "papers", "paper_id", "title", "venue", "year"))
     return True
