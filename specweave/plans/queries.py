@@ -115,7 +115,7 @@ def citation_keys(spark, d):
 
 
 def find_span(spark, d):
-    items = table(spark, d, "eval_items", "item_id", F.substring("text", 1, 80).alias("needle")).withColumn("scope", F.lit("all"))
+    items = table(spark, d, "eval_items", "item_id", F.col("text").alias("needle")).withColumn("scope", F.lit("all"))
     docs = _documents(spark, d).select("doc_id", "text", F.lit("all").alias("scope"))
     return documents.find_spans(items, docs, "scope", "item_id", "doc_id")
 
