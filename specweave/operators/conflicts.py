@@ -7,6 +7,8 @@ conflict whose positions are one representative claim an answer.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +52,23 @@ def _position(extra: list[Column | str]) -> Column:
     return F.struct("claim_id", "paper_id", *extra)
 
 
+def _representative() -> Column:
+    return F.min_by(F.struct("claim_id", "paper_id", "applies_to", "stated_explicitly", "condition", "value_key"), "claim_id").alias("rep")
+
+
+def _supported(position: Column) -> Column:
+    """A position as the rules take it: the representative claim of an answer and how it is stated."""
+    spec = specificity(F.col("rep.condition"), F.col("rep.applies_to"), F.col("rep.stated_explicitly"))
+    return F.struct(F.col("rep.claim_id").alias("claim_id"), F.col("rep.paper_id").alias("paper_id"), position.alias("position"), spec.alias("specificity"), F.col("rep.stated_explicitly").alias("stated_explicitly"), (F.col("cond") != "").alias("has_condition"))
+
+
 def value_conflicts(claims: DataFrame) -> DataFrame:
     """Settings given with several values by several papers under one condition and unit."""
     scope = ["name_key", "cond", "unit_key"]
     v = claims.where("status = 'verified' and type = 'hyperparameter' and value_key is not null").withColumn("unit_key", F.coalesce(F.lower(F.trim("unit")), F.lit("")))
-    pick = F.min_by(F.struct("claim_id", "paper_id", "value", "applies_to", "stated_explicitly", "condition"), "claim_id").alias("rep")
-    answers = v.groupBy(*scope, "value_key").agg(pick, F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi"), F.min("value_num").alias("num"))
-    spec = specificity(F.col("rep.condition"), F.col("rep.applies_to"), F.col("rep.stated_explicitly"))
-    position = F.struct(F.col("rep.claim_id").alias("claim_id"), F.col("rep.paper_id").alias("paper_id"), F.col("value_key").alias("position"), spec.alias("specificity"), F.col("rep.stated_explicitly").alias("stated_explicitly"), (F.col("cond") != "").alias("has_condition"))
+    answers = v.groupBy(*scope, "value_key").agg(_representative(), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi"), F.min("value_num").alias("num"))
     g = answers.groupBy(*scope).agg(
-        F.array_sort(F.collect_list(position)).alias("positions"), F.count(F.lit(1)).alias("n_values"), F.count("num").alias("n_numeric"), F.min("num").alias("low"), F.max("num").alias("high"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")
+        F.array_sort(F.collect_list(_supported(F.col("value_key")))).alias("positions"), F.count(F.lit(1)).alias("n_values"), F.count("num").alias("n_numeric"), F.min("num").alias("low"), F.max("num").alias("high"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")
     ).where("n_values >= 2 and p_lo <> p_hi")
     sev = value_severity(F.col("name_key"), F.col("n_values"), F.col("n_numeric"), F.col("low"), F.col("high"))
     cluster = cluster_id(F.lit("hyperparameter"), F.col("name_key"))
@@ -74,15 +83,15 @@ def result_conflicts(claims: DataFrame, relative: float = CLOSE_RESULT) -> DataF
     the same answer."""
     scope = ["name_key", "applies_key", "cond"]
     r = claims.where("status = 'verified' and type = 'result' and value_num is not null").withColumn("applies_key", F.coalesce(F.lower(F.trim("applies_to")), F.lit("")))
-    answers = r.groupBy(*scope, digits(F.col("value_num"), 10).alias("answer")).agg(F.min("value_num").alias("num"), F.min("claim_id").alias("claim_id"), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi"))
-    g = answers.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("num", "claim_id"))).alias("answers"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")).where("p_lo <> p_hi and size(answers) >= 2")
+    answers = r.groupBy(*scope, digits(F.col("value_num"), 10).alias("answer")).agg(F.min("value_num").alias("num"), _representative(), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi"))
+    g = answers.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("num", "rep.claim_id", _supported(F.col("rep.value_key")).alias("support")))).alias("answers"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")).where("p_lo <> p_hi and size(answers) >= 2")
     near = lambda a, b: F.abs(a - b) <= relative * F.greatest(F.abs(a), F.abs(b))
     start = F.slice("answers", 1, 1)
     kept = F.aggregate(F.slice("answers", 2, F.greatest(F.size("answers"), F.lit(1))), start, lambda acc, x: F.when(near(F.element_at(acc, -1)["num"], x["num"]), acc).otherwise(F.concat(acc, F.array(x))))
     g = g.withColumn("kept", kept).where("size(kept) >= 2")
     cluster = cluster_id(F.lit("result"), F.col("name_key"))
     ids = F.transform("kept", lambda p: p["claim_id"])
-    return g.select(contradiction_id(cluster, F.lit("RESULT_CONFLICT"), ids).alias("contradiction_id"), cluster.alias("cluster_id"), F.lit("RESULT_CONFLICT").alias("conflict_type"), F.lit("MATERIAL").alias("severity"), *scope, F.size("kept").alias("n_values"), F.element_at("kept", 1)["num"].alias("low"), F.element_at("kept", -1)["num"].alias("high"))
+    return g.select(contradiction_id(cluster, F.lit("RESULT_CONFLICT"), ids).alias("contradiction_id"), cluster.alias("cluster_id"), F.lit("RESULT_CONFLICT").alias("conflict_type"), F.lit("MATERIAL").alias("severity"), *scope, F.size("kept").alias("n_values"), F.element_at("kept", 1)["num"].alias("low"), F.element_at("kept", -1)["num"].alias("high"), F.transform("kept", lambda p: p["support"]).alias("positions"))
 
 
 def spreads_overlap(values: Column, spreads: Column) -> Column:
@@ -119,12 +128,12 @@ def same_approach(texts: DataFrame, scope: list[str], text: str, cut_at: float =
 def _text_conflicts(claims: DataFrame, kind: str, cut_at: float, severity: Column) -> DataFrame:
     scope = ["name_key", "cond"]
     v = claims.where((F.col("status") == "verified") & (F.col("type") == kind) & (F.trim("value") != "")).withColumn("text", F.lower(F.trim(F.regexp_replace("value", r"\s+", " "))))
-    answers = cut(v.groupBy(*scope, "text").agg(F.min("claim_id").alias("claim_id"), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi")), "answers")
-    merged = answers.join(same_approach(answers, scope, "text", cut_at), [*scope, "text"]).groupBy(*scope, "answer").agg(F.min("claim_id").alias("claim_id"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi"))
-    g = merged.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("claim_id", "answer"))).alias("positions"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")).where("size(positions) >= 2 and p_lo <> p_hi")
+    answers = cut(v.groupBy(*scope, "text").agg(_representative(), F.min("paper_id").alias("p_lo"), F.max("paper_id").alias("p_hi")), "answers")
+    merged = answers.join(same_approach(answers, scope, "text", cut_at), [*scope, "text"]).groupBy(*scope, "answer").agg(F.min_by("rep", "rep.claim_id").alias("rep"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi"))
+    g = merged.groupBy(*scope).agg(F.array_sort(F.collect_list(_supported(F.col("answer")))).alias("positions"), F.min("p_lo").alias("p_lo"), F.max("p_hi").alias("p_hi")).where("size(positions) >= 2 and p_lo <> p_hi")
     cluster = cluster_id(F.lit(kind), F.col("name_key"))
     label = f"{kind.upper()}_CONFLICT"
-    return g.select(contradiction_id(cluster, F.lit(label), F.transform("positions", lambda p: p["claim_id"])).alias("contradiction_id"), cluster.alias("cluster_id"), F.lit(label).alias("conflict_type"), severity.alias("severity"), *scope, F.size("positions").alias("n_values"), F.array_join(F.transform("positions", lambda p: p["answer"]), " | ").alias("answers"))
+    return g.select(contradiction_id(cluster, F.lit(label), F.transform("positions", lambda p: p["claim_id"])).alias("contradiction_id"), cluster.alias("cluster_id"), F.lit(label).alias("conflict_type"), severity.alias("severity"), *scope, F.size("positions").alias("n_values"), F.array_join(F.transform("positions", lambda p: p["position"]), " | ").alias("answers"), "positions")
 
 
 def method_conflicts(claims: DataFrame) -> DataFrame:
@@ -137,6 +146,13 @@ def definition_conflicts(claims: DataFrame) -> DataFrame:
     return _text_conflicts(claims, "definition", CRITERION_CUT, F.lit("MATERIAL"))
 
 
+def all_conflicts(claims: DataFrame) -> DataFrame:
+    """Conflicts of all four kinds in one schema; what a kind has not is null."""
+    found = [detect(claims) for detect in (value_conflicts, result_conflicts, method_conflicts, definition_conflicts)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    return rows.select("contradiction_id", "cluster_id", "conflict_type", "severity", "name_key", "cond", "unit_key", "applies_key", "n_values", "low", "high", "positions")
+
+
 def positions_with_support(conflicts: DataFrame, papers: DataFrame) -> DataFrame:
     """One row a position, with its paper's venue, year and whether it was reviewed."""
     flat = conflicts.select("contradiction_id", "conflict_type", "severity", F.explode("positions").alias("p")).select("contradiction_id", "conflict_type", "severity", "p.*")

@@ -14,6 +14,12 @@ from specweave.session import cut
 _SCOPE = ["type", "name_key", "cond"]
 
 
+def _with_setting(claims: DataFrame) -> DataFrame:
+    """``applies_key``: results are told apart by what they apply to as well, other claims are not."""
+    setting = F.coalesce(F.lower(F.trim("applies_to")), F.lit(""))
+    return claims.withColumn("applies_key", F.when(F.col("type") == "result", setting).otherwise(""))
+
+
 def disputed_scopes(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Scopes of conflicts that are still open: their values are withheld.
 
@@ -21,14 +27,17 @@ def disputed_scopes(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
     is_open = resolutions.where(F.col("outcome").isin("ESCALATED", "DEFERRED")).select("contradiction_id")
     kind = F.lower(F.regexp_replace("conflict_type", "_CONFLICT$", ""))
     kind = F.when(kind == "value", "hyperparameter").otherwise(kind)
-    return conflicts.join(is_open, "contradiction_id", "left_semi").select(kind.alias("type"), "name_key", "cond").distinct()
+    setting = F.coalesce("applies_key", F.lit("")) if "applies_key" in conflicts.columns else F.lit("")
+    return conflicts.join(is_open, "contradiction_id", "left_semi").select(kind.alias("type"), "name_key", "cond", setting.alias("applies_key")).distinct()
 
 
 def superseded(claims: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Claims whose value lost: same scope as a selected claim, another value."""
     won = resolutions.where("outcome in ('SELECTED', 'SCOPED') and selected_claim_id is not null").select(F.col("selected_claim_id").alias("claim_id")).distinct()
-    winners = claims.join(won, "claim_id", "left_semi").select(*_SCOPE, F.col("value_key").alias("won")).distinct()
-    lost = claims.where("status = 'verified'").join(winners, _SCOPE).groupBy("claim_id").agg(F.min(F.col("value_key") != F.col("won")).alias("lost"))
+    scope = [*_SCOPE, "applies_key"]
+    claims = _with_setting(claims)
+    winners = claims.join(won, "claim_id", "left_semi").select(*scope, F.col("value_key").alias("won")).distinct()
+    lost = claims.where("status = 'verified'").join(winners, scope).groupBy("claim_id").agg(F.min(F.col("value_key") != F.col("won")).alias("lost"))
     return lost.where("lost").select("claim_id")
 
 
@@ -50,9 +59,14 @@ def components(claims: DataFrame, disputed: DataFrame, lost: DataFrame) -> DataF
     return merge_agreeing(named, ["component_id", "name_key", "cond", "value_key"])
 
 
-def expected_results(claims: DataFrame) -> DataFrame:
-    """Results on which all papers agree: one value for a metric, model and condition."""
+def expected_results(claims: DataFrame, disputed: DataFrame | None = None, lost: DataFrame | None = None) -> DataFrame:
+    """Results on which all papers agree: one value for a metric, model and condition. Those of
+    ``disputed`` scopes and ``lost`` claims are withheld."""
     r = claims.where("status = 'verified' and type = 'result' and value_num is not null")
+    if disputed is not None:
+        r = _with_setting(r).join(disputed, [*_SCOPE, "applies_key"], "left_anti")
+    if lost is not None:
+        r = r.join(lost, "claim_id", "left_anti")
     scope = ["name_key", "applies_to", "cond"]
     g = r.groupBy(*scope, "value_key").agg(F.min("claim_id").alias("claim_id"), F.count_distinct("claim_id").alias("n"))
     return g.groupBy(*scope).agg(F.min("value_key").alias("value_key"), F.max("value_key").alias("_hi"), F.min("claim_id").alias("exemplar"), F.sum("n").alias("n_claims")).where("value_key = _hi").drop("_hi")

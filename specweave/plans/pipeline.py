@@ -21,7 +21,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, resume: bool = True) -> dict
     s["claims"] = store.stage("01_claims", lambda: claim_view(spark, sf_dir), resume)
     s["checked"] = store.stage("02_checked", lambda: claims.verify(claims.numeric_check(claims.range_check(s["claims"]))), resume)
     s["clusters"] = store.stage("03_clusters", lambda: align.blocks(s["claims"]), resume)
-    s["conflicts"] = store.stage("04_conflicts", lambda: conflicts.value_conflicts(s["claims"]), resume)
+    s["conflicts"] = store.stage("04_conflicts", lambda: conflicts.all_conflicts(s["claims"]), resume)
     s["resolutions"] = store.stage("05_resolutions", lambda: resolutions(s["conflicts"], papers), resume)
     s["gaps"] = store.stage("06_gaps", lambda: gaps.gaps(s["claims"]), resume)
     return s | synthesize(spark, store, s, papers)
@@ -38,8 +38,9 @@ def synthesize(spark: SparkSession, store: RunStore, s: dict[str, DataFrame], pa
     """The last stage, also after a human's decision: no earlier stage is run again."""
     r = s["resolutions"]
     lost = synthesis.superseded(s["claims"], r)
-    values = store.write("07_values", synthesis.components(s["claims"], synthesis.disputed_scopes(s["conflicts"], r), lost))
-    results = store.write("07_results", synthesis.expected_results(s["claims"]))
+    disputed = synthesis.disputed_scopes(s["conflicts"], r)
+    values = store.write("07_values", synthesis.components(s["claims"], disputed, lost))
+    results = store.write("07_results", synthesis.expected_results(s["claims"], disputed, lost))
     gate = synthesis.blocking(s["conflicts"], r)
     still = s["conflicts"].join(r.where("outcome in ('ESCALATED', 'DEFERRED')"), "contradiction_id", "left_semi").select("contradiction_id", "conflict_type", "severity", "name_key", "cond")
     doc = synthesis.spec_document("spec", values, results, still.where("severity = 'MATERIAL'"), s["gaps"], papers)

@@ -243,15 +243,15 @@ def value_conflict_severity(spark, d):
 
 
 def result_conflict(spark, d):
-    return conflicts.result_conflicts(claim_view(spark, d))
+    return conflicts.result_conflicts(claim_view(spark, d)).drop("positions")
 
 
 def method_conflict(spark, d):
-    return conflicts.method_conflicts(claim_view(spark, d))
+    return conflicts.method_conflicts(claim_view(spark, d)).drop("positions")
 
 
 def definition_conflict(spark, d):
-    return conflicts.definition_conflicts(claim_view(spark, d))
+    return conflicts.definition_conflicts(claim_view(spark, d)).drop("positions")
 
 
 def specificity(spark, d):

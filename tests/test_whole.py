@@ -2,7 +2,8 @@
 
 import pandas as pd
 
-from specweave.plans import queries
+from specweave.plans import pipeline, queries
+from specweave.sources.store import RunStore
 
 
 def folder(tmp_path, **tables):
@@ -24,3 +25,33 @@ def test_find_span_takes_the_whole_text(spark, tmp_path):
         want += [(i, *min(hits))] if hits else []
     assert want == [("a", 1, 8), ("c", 3, 2)]
     assert sorted(map(tuple, queries.find_span(spark, d).select("item_id", "doc_id", "at").collect())) == want
+
+
+CLAIM = "claim_id string, paper_id string, type string, canonical_name string, value string, applies_to string, quote string, confidence double, status string, paper_symbol string, value_type string, unit string, condition string, stated_explicitly boolean, provenance struct<span_id string, scope_id string, section string>, verification struct<citation_trace string, symbol_check string>, loaded_at timestamp"
+
+
+def claim_row(i, paper, kind, name, value, applies="global", quote=None, confidence=0.9, status="verified", symbol=None, cond=None):
+    return (i, paper, kind, name, value, applies, quote, confidence, status, symbol, "float" if kind in ("hyperparameter", "result") else "categorical", None, cond, True, (f"{paper}#s1.p0.0", f"{paper}#s1", "S"), ("pass", "n/a"), None)
+
+
+def claims_folder(spark, tmp_path, rows):
+    d = folder(tmp_path, papers=[{"paper_id": p, "title": p, "venue": "ACL", "year": 2020} for p in "ab"])
+    spark.createDataFrame(rows, CLAIM).write.parquet(f"{d}/claims.parquet")
+    return d
+
+
+def test_pipeline_scans_all_kinds_of_conflicts(spark, tmp_path):
+    rows = [claim_row("h1", "a", "hyperparameter", "dropout", "0.1"), claim_row("h2", "b", "hyperparameter", "dropout", "0.10")]
+    rows += [claim_row("m1", "a", "method", "tokenizer", "WordPiece"), claim_row("m2", "b", "method", "tokenizer", "SentencePiece")]
+    rows += [claim_row("d1", "a", "definition", "misuse", "a call outside the set"), claim_row("d2", "b", "definition", "misuse", "any harm whatever")]
+    rows += [claim_row("r1", "a", "result", "bleu", "27", "Base"), claim_row("r2", "b", "result", "bleu", "28", "base"), claim_row("r3", "a", "result", "bleu", "30", "large")]
+    d, out = claims_folder(spark, tmp_path, rows), str(tmp_path / "run")
+    s = pipeline.run(spark, d, out)
+    found = {r["conflict_type"]: r for r in s["conflicts"].collect()}
+    assert {k: (r["severity"], [p["claim_id"] for p in r["positions"]]) for k, r in found.items()} == {"METHOD_CONFLICT": ("BLOCKING", ["m1", "m2"]), "DEFINITION_CONFLICT": ("MATERIAL", ["d1", "d2"]), "RESULT_CONFLICT": ("MATERIAL", ["r1", "r2"])}
+    assert {r["contradiction_id"] for r in s["resolutions"].collect()} == {r["contradiction_id"] for r in s["open_conflicts"].collect()} == {r["contradiction_id"] for r in found.values()}
+    assert [r["conflict_type"] for r in s["blocking"].collect()] == ["METHOD_CONFLICT"] and (tmp_path / "run/spec.draft").exists() and not (tmp_path / "run/spec").exists()
+    read = lambda: sorted(r["exemplar"] for t in ("07_values", "07_results") for r in RunStore(spark, out).read(t).collect())
+    assert read() == ["h1", "r3"]
+    assert pipeline.decide(spark, d, out, found["METHOD_CONFLICT"]["contradiction_id"], "m2") and (tmp_path / "run/spec").exists() and not (tmp_path / "run/spec.draft").exists()
+    assert pipeline.decide(spark, d, out, found["RESULT_CONFLICT"]["contradiction_id"], "r2") and read() == ["h1", "r2", "r3"]
