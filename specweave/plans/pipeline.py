@@ -20,13 +20,20 @@ def run(spark: SparkSession, sf_dir: str, out: str, resume: bool = True) -> dict
     s: dict[str, DataFrame] = {}
     s["claims"] = store.stage("01_claims", lambda: claim_view(spark, sf_dir), resume)
     s["checked"] = store.stage("02_checked", lambda: claims.verify(claims.numeric_check(claims.range_check(s["claims"]))), resume)
-    s["clusters"] = store.stage("03_clusters", lambda: align.blocks(s["claims"]), resume)
-    s["conflicts"] = store.stage("04_conflicts", lambda: conflicts.all_conflicts(s["claims"]), resume)
+    s["verified"] = verdicts(s["checked"])
+    s["clusters"] = store.stage("03_clusters", lambda: align.blocks(s["verified"]), resume)
+    s["conflicts"] = store.stage("04_conflicts", lambda: conflicts.all_conflicts(s["verified"]), resume)
     s["resolutions"] = store.stage("05_resolutions", lambda: resolutions(s["conflicts"], papers), resume)
-    s["gaps"] = store.stage("06_gaps", lambda: gaps.gaps(s["claims"]), resume)
+    s["gaps"] = store.stage("06_gaps", lambda: gaps.gaps(s["verified"]), resume)
     return s | synthesize(spark, store, s, papers)
 
 
+def verdicts(checked: DataFrame) -> DataFrame:
+    """Claims as the checks leave them, whatever status they came with: all later stages take these."""
+    new = {"status": F.col("new_status"), "confidence": F.col("new_confidence"), "stated_explicitly": F.col("new_explicit")}
+    return checked.withColumns(new).drop("new_status", "new_confidence", "new_explicit")
+
+
 def resolutions(found: DataFrame, papers: DataFrame) -> DataFrame:
     pos = conflicts.positions_with_support(found, papers).withColumn("is_primary", F.lit(False))
     fields = F.struct("claim_id", "paper_id", "position", "specificity", "stated_explicitly", "has_condition", "is_primary", "year", "peer_reviewed")
@@ -37,10 +44,10 @@ def resolutions(found: DataFrame, papers: DataFrame) -> DataFrame:
 def synthesize(spark: SparkSession, store: RunStore, s: dict[str, DataFrame], papers: DataFrame) -> dict[str, DataFrame]:
     """The last stage, also after a human's decision: no earlier stage is run again."""
     r = s["resolutions"]
-    lost = synthesis.superseded(s["claims"], r)
+    lost = synthesis.superseded(s["verified"], r)
     disputed = synthesis.disputed_scopes(s["conflicts"], r)
-    values = store.write("07_values", synthesis.components(s["claims"], disputed, lost))
-    results = store.write("07_results", synthesis.expected_results(s["claims"], disputed, lost))
+    values = store.write("07_values", synthesis.components(s["verified"], disputed, lost))
+    results = store.write("07_results", synthesis.expected_results(s["verified"], disputed, lost))
     gate = synthesis.blocking(s["conflicts"], r)
     still = s["conflicts"].join(r.where("outcome in ('ESCALATED', 'DEFERRED')"), "contradiction_id", "left_semi").select("contradiction_id", "conflict_type", "severity", "name_key", "cond")
     doc = synthesis.spec_document("spec", values, results, still.where("severity = 'MATERIAL'"), s["gaps"], papers)
@@ -53,7 +60,8 @@ def synthesize(spark: SparkSession, store: RunStore, s: dict[str, DataFrame], pa
 def decide(spark: SparkSession, sf_dir: str, out: str, contradiction_id: str, claim_id: str) -> bool:
     """A human's decision on one conflict; False if the claim is none of its positions."""
     store = RunStore(spark, out)
-    s = {k: store.read(t) for k, t in (("claims", "01_claims"), ("conflicts", "04_conflicts"), ("resolutions", "05_resolutions"), ("gaps", "06_gaps"))}
+    s = {k: store.read(t) for k, t in (("checked", "02_checked"), ("conflicts", "04_conflicts"), ("resolutions", "05_resolutions"), ("gaps", "06_gaps"))}
+    s["verified"] = verdicts(s["checked"])
     position = F.exists("positions", lambda p: p["claim_id"] == claim_id)
     if s["conflicts"].where((F.col("contradiction_id") == contradiction_id) & position).isEmpty():
         return False

@@ -55,3 +55,17 @@ def test_pipeline_scans_all_kinds_of_conflicts(spark, tmp_path):
     assert read() == ["h1", "r3"]
     assert pipeline.decide(spark, d, out, found["METHOD_CONFLICT"]["contradiction_id"], "m2") and (tmp_path / "run/spec").exists() and not (tmp_path / "run/spec.draft").exists()
     assert pipeline.decide(spark, d, out, found["RESULT_CONFLICT"]["contradiction_id"], "r2") and read() == ["h1", "r2", "r3"]
+
+
+def test_pipeline_takes_what_the_checks_leave(spark, tmp_path):
+    rows = [claim_row("h1", "a", "hyperparameter", "dropout", "0.1", quote="it is 0.1"), claim_row("h2", "b", "hyperparameter", "dropout", "7")]  # 7 is out of range
+    rows += [claim_row("h3", "a", "hyperparameter", "num_layers", "6"), claim_row("h4", "b", "hyperparameter", "num_layers", "12", confidence=0.3)]  # of low confidence
+    rows += [claim_row("h5", "a", "hyperparameter", "batch_size", "32", quote="it is 64"), claim_row("h6", "a", "hyperparameter", "weight_decay", "0.01", status="extracted")]
+    d, out = claims_folder(spark, tmp_path, rows), str(tmp_path / "run")
+    s = pipeline.run(spark, d, out)
+    assert s["conflicts"].isEmpty() and (tmp_path / "run/spec").exists()
+    assert sorted(r["exemplar"] for r in s["values"].collect()) == ["h1", "h3", "h5", "h6"]
+    assert sum(r["n_claims"] for r in s["clusters"].collect()) == 4
+    weak = s["verified"].where("claim_id = 'h5'").first()
+    assert (weak["confidence"], weak["stated_explicitly"]) == (0.72, False)
+    assert ("b", "dropout") in {(r["paper_id"], r["field"]) for r in s["gaps"].collect()}
