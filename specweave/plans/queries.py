@@ -223,9 +223,10 @@ def single_paper_keys(spark, d):
 
 def paper_components(spark, d):
     """Papers linked by a symbol they share with the first paper that uses it for the same name."""
-    c = claim_view(spark, d).where("status = 'verified' and trim(paper_symbol) <> '' and cond <> ''").select("paper_id", F.concat_ws("|", "paper_symbol", "name_key", "cond").alias("k")).distinct()
-    first = c.groupBy("k").agg(F.min("paper_id").alias("hub"))
-    return align.connected_components(c.join(first, "k").select(F.col("paper_id").alias("a"), F.col("hub").alias("b")))
+    keys = ["symbol", "name_key"]
+    c = claim_view(spark, d).where("status = 'verified' and trim(paper_symbol) <> ''").select("paper_id", F.trim("paper_symbol").alias("symbol"), "name_key").distinct()
+    first = c.groupBy(*keys).agg(F.min("paper_id").alias("hub"))
+    return align.connected_components(c.join(first, keys).select(F.col("paper_id").alias("a"), F.col("hub").alias("b")))
 
 
 def cluster_split(spark, d):

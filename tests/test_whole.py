@@ -69,3 +69,10 @@ def test_pipeline_takes_what_the_checks_leave(spark, tmp_path):
     weak = s["verified"].where("claim_id = 'h5'").first()
     assert (weak["confidence"], weak["stated_explicitly"]) == (0.72, False)
     assert ("b", "dropout") in {(r["paper_id"], r["field"]) for r in s["gaps"].collect()}
+
+
+def test_paper_components_link_whatever_the_condition(spark, tmp_path):
+    own = [("a", "alpha", "rate", None), ("b", "alpha", "rate", "large"), ("c", " alpha", "rate", "base"), ("c", "d", "width", None), ("d", "d", "width", None), ("e", "d", "depth", None), ("f", "alpha", "rate", None), ("g", None, "rate", None), ("h", " ", "rate", "x")]
+    rows = [claim_row(f"c{i}", p, "hyperparameter", name, "1", symbol=sym, cond=cond, status="rejected" if p == "f" else "verified") for i, (p, sym, name, cond) in enumerate(own)]
+    got = queries.paper_components(spark, claims_folder(spark, tmp_path, rows)).collect()
+    assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e")]
