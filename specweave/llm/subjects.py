@@ -7,7 +7,8 @@ every sentence of a document counts for all its labels, then only those that the
 to speak of the label. Every step computes gradients on the partitions of the training table, adds
 them up and takes one Adam step; then all documents are scored sentence by sentence. A sentence
 counts for the subject that fits it best in the sense of the text, that is, weighed by what the
-other sentences speak of; a subject is found if at least ``SENTENCES`` sentences count for it.
+other sentences speak of, and for every other one that is sure when so weighed; a subject is found
+if at least ``SENTENCES`` sentences count for it.
 """
 
 from __future__ import annotations
@@ -268,11 +269,14 @@ def sentence_subjects(p: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray
     whole = np.zeros((n_rows, p.shape[1]), np.float32)
     np.add.at(whole, row, speaks)
     others = whole[row] - speaks
-    best = np.argmax(speaks * (0.1 + others), axis=1)
-    total = speaks.max(axis=1)
+    sense = 0.1 + others
+    best = np.argmax(speaks * sense, axis=1)
+    # The weight is 1 for the subject that the rest of the document speaks of most.
+    counts = speaks * (sense / sense.max(axis=1, keepdims=True)) >= SURE
+    sure = np.flatnonzero(speaks.max(axis=1) >= SURE)
+    counts[sure, best[sure]] = True
     count = np.zeros((n_rows, p.shape[1]), np.int64)
-    sure = total >= SURE
-    np.add.at(count, (row[sure], best[sure]), 1)
+    np.add.at(count, row, counts)
     return count
 
 
@@ -284,7 +288,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, i
     labels of unknown documents or subjects are left out; repeated labels count once; without any
     usable label there is no result. Repeated documents give repeated rows; texts are read whole.
     """
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect())
+    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect())
     schema = schema_plus(docs.select(id_col), "subject string")
     k = len(names)
     table = training_table(docs, labels, names, id_col, text_col) if k else None

@@ -1,7 +1,9 @@
 """Queries do the whole job: small tables on which a part of it gives other results."""
 
+import numpy as np
 import pandas as pd
 
+from specweave.llm import subjects
 from specweave.plans import pipeline, queries
 from specweave.sources.store import RunStore
 
@@ -76,3 +78,11 @@ def test_paper_components_link_whatever_the_condition(spark, tmp_path):
     rows = [claim_row(f"c{i}", p, "hyperparameter", name, "1", symbol=sym, cond=cond, status="rejected" if p == "f" else "verified") for i, (p, sym, name, cond) in enumerate(own)]
     got = queries.paper_components(spark, claims_folder(spark, tmp_path, rows)).collect()
     assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e")]
+
+
+def test_a_sentence_counts_for_every_sure_subject():
+    p = np.array([[0.9, 0.8], [0.8, 0.9], [0.6, 0.5], [0.9, 0.0], [0.9, 0.1], [0.1, 0.9], [0.1, 0.1]], np.float32)
+    row = np.array([0, 0, 1, 1, 1, 2, 3])
+    # Two sentences on both; a word of several senses counts in that of the text; one sentence; none.
+    assert subjects.sentence_subjects(p, row, 5).tolist() == [[2, 2], [3, 0], [0, 1], [0, 0], [0, 0]]
+    assert subjects.sentence_subjects(p[:0], row[:0], 2).tolist() == [[0, 0], [0, 0]]
