@@ -121,8 +121,9 @@ def find_span(spark, d):
 
 
 def latex_sections(spark, d):
-    title = F.regexp_extract("text", r"\\section\*?\{([^{}]*)\}", 1)
-    return _documents(spark, d).where(F.col("text").contains("\\section")).select("doc_id", text.tex_plain(title).alias("title"))
+    tex = _documents(spark, d).where(F.col("text").rlike(latex.SECTIONED))
+    found = latex.sections(tex.select(F.col("doc_id").alias("paper_id"), F.col("text").alias("source")))
+    return found.withColumnRenamed("paper_id", "doc_id").orderBy("doc_id", "section_index")
 
 
 def latex_equations(spark, d):

@@ -18,6 +18,8 @@ DEPTH = 3
 
 _MATH = r"(?s)\\begin\{(" + "|".join(MATH_ENVIRONMENTS) + r")(\*?)\}(.*?)\\end\{\1\2\}"
 _SECTION = r"\\(?:sub){0,2}section\*?\{"
+#: What a text has that can be cut into LaTeX sections.
+SECTIONED = _SECTION + r"|\\begin\{(?:abstract|document)\}"
 
 
 def joined_sources(files: DataFrame) -> DataFrame:

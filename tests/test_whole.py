@@ -86,3 +86,10 @@ def test_a_sentence_counts_for_every_sure_subject():
     # Two sentences on both; a word of several senses counts in that of the text; one sentence; none.
     assert subjects.sentence_subjects(p, row, 5).tolist() == [[2, 2], [3, 0], [0, 1], [0, 0], [0, 0]]
     assert subjects.sentence_subjects(p[:0], row[:0], 2).tolist() == [[0, 0], [0, 0]]
+
+
+def test_latex_sections_returns_all_sections(spark, tmp_path):
+    texts = ["\\begin{abstract}Short.\\end{abstract}\nBefore.\n\\section{One}\nFirst.\n\\subsection*{Two}\nSecond.\n\\section{Three} Third.", "\\subsection{Only}\nText.", "No markup: sections.", None]
+    d = folder(tmp_path, documents=[{"doc_id": i, "paper_id": "p", "section": "s", "text": t} for i, t in enumerate(texts)])
+    got = [(r["doc_id"], r["section_index"], r["title"], r["body"].strip()) for r in queries.latex_sections(spark, d).collect()]
+    assert got == [(0, 0, "Abstract", "Short."), (0, 1, "Preamble", "Before."), (0, 2, "One", "First."), (0, 3, "Two", "Second."), (0, 4, "Three", "Third."), (1, 0, "Only", "Text.")]
