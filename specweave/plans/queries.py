@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.functions import ids, text
 from specweave.operators import align, claims, conflicts, documents, gaps, operations, policy, synthesis
-from specweave.operators.rules import FIDELITY_CONFIDENCE
+from specweave.operators.rules import FIDELITY_CONFIDENCE, SECTION_PATTERNS
 from specweave.operators.snapshots import snapshot_changes
 from specweave.operators.units import convert_units, mixed_amounts
 from specweave.session import cut, table
@@ -145,7 +146,8 @@ def suspect_math_lines(spark, d):
 
 
 def section_triage(spark, d):
-    return documents.triage(_documents(spark, d), "result")
+    docs = _documents(spark, d)
+    return reduce(DataFrame.unionByName, (documents.triage(docs, kind) for kind in SECTION_PATTERNS))
 
 
 def batch_packing(spark, d):

@@ -93,3 +93,11 @@ def test_latex_sections_returns_all_sections(spark, tmp_path):
     d = folder(tmp_path, documents=[{"doc_id": i, "paper_id": "p", "section": "s", "text": t} for i, t in enumerate(texts)])
     got = [(r["doc_id"], r["section_index"], r["title"], r["body"].strip()) for r in queries.latex_sections(spark, d).collect()]
     assert got == [(0, 0, "Abstract", "Short."), (0, 1, "Preamble", "Before."), (0, 2, "One", "First."), (0, 3, "Two", "Second."), (0, 4, "Three", "Third."), (1, 0, "Only", "Text.")]
+
+
+def test_section_triage_decides_for_all_kinds(spark, tmp_path):
+    docs = [("p", "Training setup", "x" * 70)] + [("p", f"Part {i}", "y") for i in range(4)] + [("p", "Results", "z" * 9), ("q", "Intro", "x")]
+    d = folder(tmp_path, documents=[{"doc_id": i, "paper_id": p, "section": s, "text": t} for i, (p, s, t) in enumerate(docs)])
+    got = {(r["paper_id"], r["kind"]): (r["n_matched"], r["decision"]) for r in queries.section_triage(spark, d).collect()}
+    assert {k for _, k in got} == {"hyperparameter", "method", "result", "definition"} and len(got) == 8
+    assert got["p", "hyperparameter"] == (1, "pattern") and got["p", "result"] == (1, "pattern_fallback") and got["p", "method"] == (0, "all_fallback") and got["q", "definition"][1] == "all"
