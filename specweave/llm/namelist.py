@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import permutations
 
 import pyarrow as pa
@@ -110,6 +110,72 @@ def _run_together(s: str, entry: tuple[str, ...], known: frozenset[str]) -> floa
     return best
 
 
+def _any_order(words: list[str], entry: tuple[str, ...], known: frozenset[str]) -> float | None:
+    """The least slips with each typed word read as another word of the entry: an assignment of
+    minimum cost by shortest augmenting paths."""
+    n, none = len(entry), 1e6
+    costs = [[word_cost(t, w, known) for w in entry] for t in words]
+    row_price, col_price = [0.0] * (n + 1), [0.0] * (n + 1)
+    taken = [0] * (n + 1)  # by column: the row that has it; rows and columns count from 1
+    for i in range(1, n + 1):
+        taken[0], j = i, 0
+        least, way, seen = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while taken[j]:
+            seen[j], row, delta, to = True, taken[j], float("inf"), 0
+            for k in range(1, n + 1):
+                if not seen[k]:
+                    c = costs[row - 1][k - 1]
+                    slack = (none if c is None else c) - row_price[row] - col_price[k]
+                    if slack < least[k]:
+                        least[k], way[k] = slack, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(n + 1):
+                if seen[k]:
+                    row_price[taken[k]] += delta
+                    col_price[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+        while j:
+            taken[j], j = taken[way[j]], way[j]
+    read = sorted((taken[k], costs[taken[k] - 1][k - 1]) for k in range(1, n + 1) if costs[taken[k] - 1][k - 1] is not None)
+    return sum(c for _, c in read) if len(read) == n else None
+
+
+def _run_together_any_order(s: str, entry: tuple[str, ...], known: frozenset[str]) -> float | None:
+    """The best way to cut ``s`` into the entry's words in any order; a rest of the name with the
+    same words left is read once."""
+
+    @cache
+    def best(at: int, left: tuple[str, ...]) -> float | None:
+        rest, least = s[at:], None
+        if len(left) == 1:
+            return word_cost(rest, left[0], known) if rest else None
+        for w in dict.fromkeys(left):
+            i = left.index(w)
+            for k in range(max(1, len(w) - 3 if len(w) <= SHORT else min(SHORT, len(w) - 2)), min(len(rest) - 1, len(w) + 3) + 1):
+                if (c := word_cost(rest[:k], w, known)) is not None and (r := best(at + k, left[:i] + left[i + 1 :])) is not None and (least is None or c + r < least):
+                    least = c + r
+        return least
+
+    return best(0, tuple(sorted(entry)))
+
+
+def _one_slip_any_order(s: str, entry: tuple[str, ...]) -> bool:
+    """Whether ``s`` is the entry's words in some order, run together, with at most one slip. A slip
+    touches two neighbours at most, so of three words the first or the last is as it should be."""
+
+    @cache
+    def fits(s: str, left: tuple[str, ...]) -> bool:
+        if len(left) <= 2:
+            return any(slips(s, "".join(order), 1) <= 1 for order in permutations(left))
+        rests = ((w, left[:i] + left[i + 1 :]) for i, w in enumerate(left))
+        return any(s.startswith(w) and fits(s[len(w) :], rest) or s.endswith(w) and fits(s[: len(s) - len(w)], rest) for w, rest in rests)
+
+    return fits(s, tuple(sorted(entry)))
+
+
 def name_cost(words: list[str], entry: tuple[str, ...], known: frozenset[str], alias: bool) -> float | None:
     """Slips in the name as a writing of the entry; None: another name."""
     joined, target = "".join(words), "".join(entry)
@@ -121,9 +187,13 @@ def name_cost(words: list[str], entry: tuple[str, ...], known: frozenset[str], a
         if len(target) >= SHORT and joined == target + "s":
             return 0.1
         return 1.0 if len(target) > 5 and joined not in known and slips(joined, target, 1) <= 1 else None
-    orders = permutations(entry) if len(entry) <= MOST_ORDERED else [entry]
+    if len(entry) > MOST_ORDERED:  # too many orders to list
+        if len(words) == len(entry):
+            return _any_order(words, entry, known)
+        c = _run_together_any_order(joined, entry, known)
+        return 1.0 if c is None and len(words) == 1 and len(joined) > 7 and _one_slip_any_order(joined, entry) else c
     costs = []
-    for order in orders:
+    for order in permutations(entry):
         if len(words) == len(entry):
             costs.append(_in_order(words, order, known))
         if len(words) != len(entry) or len(words) == 1:
