@@ -99,19 +99,50 @@ def _alnum(ch: str) -> int:
     return ch.isalnum()
 
 
-def _lower(ch: str) -> int:
-    low = ch.lower()
+def _fold(ch: str) -> int:
+    low = ch.casefold()
     return ord(low) if len(low) == 1 else ord(ch)
 
 
+def _spread(ch: str) -> int:
+    return len(ch.casefold()) if len(ch.casefold()) > 1 else 0
+
+
 def alnum_table() -> np.ndarray:
     """1 for letters and digits."""
     return char_table(_alnum)
 
 
+def fold_table() -> np.ndarray:
+    """The code point without its letter case (itself where that takes several, see :func:`spread_case`)."""
+    return char_table(_fold, np.uint32)
+
+
 def lower_table() -> np.ndarray:
-    """The lower-case code point (itself where lower case needs several code points)."""
-    return char_table(_lower, np.uint32)
+    return fold_table()
+
+
+def spread_case(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Code points whose folding takes several (sharp s, ligatures, some accented capitals) replaced by
+    these, and where each code point has gone: n+1 offsets, None where nothing moved. All other code
+    points stay as they are; :func:`fold_table` folds them."""
+    count = char_table(_spread)[cps] if cps.size and cps.max() > 0x7F else np.empty(0, np.uint8)
+    if not count.any():
+        return cps, None
+    at = np.flatnonzero(count)
+    n = np.maximum(count, 1)
+    offs = np.zeros(cps.size + 1, np.int64)
+    np.cumsum(n, out=offs[1:])
+    out = np.repeat(cps, n)
+    kinds, which = np.unique(cps[at], return_inverse=True)
+    flat = np.zeros((kinds.size, int(n.max())), np.uint32)
+    for i, c in enumerate(kinds):
+        low = [ord(x) for x in chr(c).casefold()]
+        flat[i, : len(low)] = low
+    for k in range(int(n.max())):
+        some = n[at] > k
+        out[offs[at[some]] + k] = flat[which[some], k]
+    return out, offs
 
 
 def word_runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

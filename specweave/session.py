@@ -42,22 +42,33 @@ def schema_plus(df: DataFrame, ddl: str) -> T.StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a temporary folder, removed at exit."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only on one machine (a local master)
+    a temporary folder, removed at exit, takes its place; on a cluster its absence is an error, as
+    every executor would write to a disk of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("stage tables need a folder that all executors share: set spark.checkpoint.dir")
         where = tempfile.mkdtemp(prefix="specweave-")
         _LOCAL_DIRS.append(where)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Remove the stage tables that this application wrote; what was read from them is gone with them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, so a
     lost executor costs a re-read and not a recomputation. Columnar and compressed, hence smaller
-    than ``checkpoint()``."""
+    than ``checkpoint()``. :func:`drop_stages` removes all of an application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
