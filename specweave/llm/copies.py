@@ -1,10 +1,11 @@
 """Problem 3: records that differ only in formatting, each once with its number of copies.
 
 The payload's code points stream through a lookup table that folds letter case and skips white space
-and punctuation; what is left goes into rolling polynomial hashes, one of each field name and value,
-whose mixed sum over the fields is the record's hash, so field order drops out. No canonical string
-is made. Rows of equal hash are then verified by walking both payloads' remaining symbols side by
-side (for all pairs of a batch at once), skipped symbols left out.
+and punctuation; what is kept goes into rolling polynomial hashes, one of each field name and value,
+whose mixed sum over the fields is the record's hash, so field order drops out. No folded record is
+laid out. Rows of equal hash are verified by two pointers that run over the two payloads as they are,
+skip what the table skips and fold what they meet; all pairs of a batch advance together, a bounded
+number of symbols a step.
 
 Copies are first collapsed within an Arrow batch, so a group that holds a third of all rows sends
 one row a batch through the one shuffle, and the payload travels only with such representatives.
@@ -22,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.arrowtext import char_table, codepoints, lower_table, mix64, run_hashes, slices
+from specweave.functions.arrowtext import char_table, codepoints, fold_table, mix64, run_hashes, slices, spread_case
 from specweave.session import scan_width, schema_plus
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
 _QUOTE, _BACK, _COMMA, _COLON, _OPEN, _CLOSE, _BRACKET = 34, 92, 44, 58, 123, 125, 91
 _DROP, _LETTER, _DIGIT, _MINUS, _POINT, _PLUS = 1, 2, 3, 4, 5, 6
+#: Symbols that the two pointers of a pair advance over in a step.
+STEP = 64
 
 
 def _kind(ch: str) -> int:
@@ -49,10 +52,11 @@ def kinds() -> np.ndarray:
 
 
 class Folded:
-    """What is left of a slice of flat JSON objects: symbols by field, fields by row.
+    """A slice of flat JSON objects as they are written, with what the table keeps of them.
 
-    ``sym`` holds the symbols of all kept fields, ordered by row and field hash; ``start``/``end``
-    are two runs a field (name, value), ``row`` the row of each field, ``h`` its two hashes.
+    ``cps`` are the code points, ``kept`` the places of those that count, ``runs`` two runs in
+    ``kept`` for each field (name, value), ordered by row and field hash; ``row`` is the row of each
+    field, ``h`` its two hashes, ``sign`` marks the signs of numbers.
     """
 
     def __init__(self, col: pa.Array):
@@ -60,52 +64,41 @@ class Folded:
         cps, offs = codepoints(col)
         self.rows = len(offs) - 1
         cps, offs, literal = _unescape(cps, offs)
+        wide, moved = spread_case(cps)
+        if moved is not None:
+            literal = np.repeat(literal, np.diff(moved))
+            cps, offs = wide, moved[offs]
         if cps.size == 0:
             self._empty()
             return
         quote = (cps == _QUOTE) & ~literal
         inside = (np.cumsum(quote) & 1).astype(bool) | quote
         delim = ~inside & ((cps == _COMMA) | (cps == _COLON) | (cps == _OPEN) | (cps == _CLOSE))
+        seg = np.cumsum(delim)
         kind = kinds()[cps]
-        prev, nxt = np.zeros_like(kind), np.zeros_like(kind)
-        prev[1:], nxt[:-1] = kind[:-1], kind[1:]
-        alnum_before = (prev == _LETTER) | (prev == _DIGIT)
-        # 1e-4: a sign after an e that follows a digit.
-        low = lower_table()[cps]
-        after_e = np.zeros(cps.size, bool)
-        after_e[2:] = (low[1:-1] == 101) & (kind[:-2] == _DIGIT)
-        sign = (kind == _MINUS) & (nxt == _DIGIT) & (~alnum_before | after_e)
-        minus_then_point = np.zeros(cps.size, bool)
-        minus_then_point[:-2] = (kind[:-2] == _MINUS) & (kind[1:-1] == _POINT) & (kind[2:] == _DIGIT)
-        sign |= minus_then_point & ~alnum_before
-        point = (kind == _POINT) & (nxt == _DIGIT) & (prev != _LETTER)
-        point &= (prev == _DIGIT) | (prev != _POINT)
-        keep = (kind == _LETTER) | (kind == _DIGIT) | (kind == 0) | sign | point
-        keep |= (kind == _PLUS) & (nxt != _DIGIT) & (nxt != _POINT) & ~after_e
+        keep, self.sign = _counting(cps, kind, seg)
         keep &= ~quote & ~delim
-        low[sign] = 45
         # Segments between delimiters: names before a colon, values after it.
-        seg = np.cumsum(delim)
         at = np.flatnonzero(delim)
         colon = cps[at] == _COLON
         value_seg = np.flatnonzero(colon) + 1
         kept = np.flatnonzero(keep)
         kseg = seg[kept]
-        sym = low[kept]
         lo = np.searchsorted(kseg, value_seg)
         hi = np.searchsorted(kseg, value_seg, "right")
         name_lo, name_hi = np.searchsorted(kseg, value_seg - 1), lo
         # A bare null is as absent as an empty value.
-        first = np.minimum(lo, max(sym.size - 1, 0))
         bare = np.ones(value_seg.size, bool)
         quoted = np.unique(seg[np.flatnonzero(quote)])
         bare[np.isin(value_seg, quoted)] = False
         full = hi > lo
-        if sym.size:
-            full &= ~(bare & (sym[first] == 110))
+        self.cps, self.kept = cps, kept
+        if kept.size:
+            first = np.minimum(lo, kept.size - 1)
+            full &= ~(bare & (cps[kept[first]] == 110))
         row = np.searchsorted(offs, at[value_seg - 1], "right") - 1
         lo, hi, name_lo, name_hi, row = lo[full], hi[full], name_lo[full], name_hi[full], row[full]
-        mixed = mix64(sym.astype(np.uint64) + np.uint64(1))
+        mixed = mix64(self.symbols(kept).astype(np.uint64) + np.uint64(1))
         h = []
         for b in _BASES:
             names, values = run_hashes(mixed, name_lo, name_hi, b), run_hashes(mixed, lo, hi, b)
@@ -114,11 +107,15 @@ class Folded:
         self.row = row[order]
         self.h = [x[order] for x in h]
         self.runs = np.stack([name_lo, name_hi, lo, hi], axis=1)[order]
-        self.sym = sym
 
     def _empty(self) -> None:
         self.row, self.h = np.empty(0, np.int64), [np.empty(0, np.uint64)] * 2
-        self.runs, self.sym = np.empty((0, 4), np.int64), np.empty(0, np.uint32)
+        self.runs, self.kept = np.empty((0, 4), np.int64), np.empty(0, np.int64)
+        self.cps, self.sign = np.empty(0, np.uint32), np.empty(0, bool)
+
+    def symbols(self, places: np.ndarray) -> np.ndarray:
+        """What stands at the given places, folded."""
+        return np.where(self.sign[places], np.uint32(45), fold_table()[self.cps[places]])
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes a row: the sums over its fields, which may come in any order."""
@@ -129,14 +126,45 @@ class Folded:
             out.append(mix64(total).view(np.int64))
         return out[0], out[1]
 
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fields a row, lengths of all runs, and all symbols of the given rows, in field order."""
+    def fields(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First field and number of fields of the given rows."""
         first = np.searchsorted(self.row, rows)
-        count = np.searchsorted(self.row, rows, "right") - first
-        fields = _ranges(first, count)
-        runs = self.runs[fields]
-        lens = np.stack([runs[:, 1] - runs[:, 0], runs[:, 3] - runs[:, 2]], axis=1).ravel()
-        return count, lens, self.sym[_ranges(runs[:, [0, 2]].ravel(), lens)]
+        return first, np.searchsorted(self.row, rows, "right") - first
+
+
+def _counting(cps: np.ndarray, kind: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which code points count, and which of them are signs of numbers.
+
+    Letters, digits and symbols count; of punctuation only what belongs to a number: a point between
+    or before digits, the minus of an exponent, a minus that touches a number and joins it to no
+    word, and a minus that opens a field, if a number comes next, whatever skipped symbols stand
+    between. Elsewhere a minus apart from what follows is a dash between words. A plus that would be
+    a sign says nothing."""
+    n = cps.size
+    prev, nxt = np.zeros_like(kind), np.zeros_like(kind)
+    prev[1:], nxt[:-1] = kind[:-1], kind[1:]
+    alnum_before = (prev == _LETTER) | (prev == _DIGIT)
+    after_e = np.zeros(n, bool)  # 1e-4: a sign after an e that follows a digit
+    after_e[2:] = ((cps[1:-1] | 32) == 101) & (kind[:-2] == _DIGIT)
+    point = (kind == _POINT) & (nxt == _DIGIT) & (prev != _LETTER)
+    number = (kind == _DIGIT) | point
+    signs = np.flatnonzero((kind == _MINUS) | (kind == _PLUS))
+    sign, plus = np.zeros(n, bool), np.zeros(n, bool)
+    if signs.size:
+        # What stands before and behind each sign, symbols that are skipped aside.
+        solid = np.flatnonzero(kind != _DROP)
+        after = np.minimum(np.searchsorted(solid, signs, "right"), solid.size - 1)
+        behind = solid[after]
+        before = solid[np.maximum(np.searchsorted(solid, signs) - 1, 0)]
+        next_number = (behind > signs) & (seg[behind] == seg[signs]) & number[behind]
+        inner = (before < signs) & (seg[before] == seg[signs])
+        touching = number[np.minimum(signs + 1, n - 1)] & (signs + 1 < n)
+        joins = np.where(touching, alnum_before[signs] & ~after_e[signs], inner)
+        real = next_number & ~joins
+        sign[signs[real & (kind[signs] == _MINUS)]] = True
+        plus[signs[real & (kind[signs] == _PLUS)]] = True
+    keep = (kind == _LETTER) | (kind == _DIGIT) | (kind == 0) | sign | point
+    return keep | (kind == _PLUS) & ~plus, sign
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -211,33 +239,31 @@ def _unescape(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def same_records(a: Folded, rows_a: np.ndarray, b: Folded, rows_b: np.ndarray) -> np.ndarray:
-    """Whether row rows_a[i] of ``a`` and rows_b[i] of ``b`` read the same, symbol by symbol."""
-    (ca, la, sa), (cb, lb, sb) = a.take(rows_a), b.take(rows_b)
-    same = ca == cb
-    if not same.all():
-        good = np.flatnonzero(same)
-        if good.size:
-            same[good] = same_records(a, rows_a[good], b, rows_b[good])
-        return same
-    owner = np.repeat(np.arange(ca.size), ca * 2)
-    bad = owner[la != lb]
-    if bad.size:
-        same[bad] = False
-        good = np.flatnonzero(same)
-        if good.size:
-            same[good] = same_records(a, rows_a[good], b, rows_b[good])
-        return same
-    same[np.repeat(owner, la)[sa != sb]] = False
+    """Whether row rows_a[i] of ``a`` and rows_b[i] of ``b`` read the same: their fields in the order of
+    their hashes, and in each field two pointers over the payloads as they are written."""
+    (fa, na), (fb, nb) = a.fields(rows_a), b.fields(rows_b)
+    same = na == nb
+    pair = np.repeat(np.flatnonzero(same), na[same])
+    left, right = a.runs[_ranges(fa[same], na[same])], b.runs[_ranges(fb[same], na[same])]
+    for lo, hi in ((0, 1), (2, 3)):
+        live = pair[left[:, hi] - left[:, lo] != right[:, hi] - right[:, lo]]
+        same[live] = False
+    for lo, hi in ((0, 1), (2, 3)):
+        x, y, end = left[:, lo].copy(), right[:, lo].copy(), left[:, hi]
+        live = np.flatnonzero(same[pair] & (x < end))
+        while live.size:
+            ahead = np.arange(STEP)
+            inside = x[live, None] + ahead < end[live, None]
+            at_a = a.kept[np.where(inside, x[live, None] + ahead, x[live, None])]
+            at_b = b.kept[np.where(inside, y[live, None] + ahead, y[live, None])]
+            differ = (a.symbols(at_a) != b.symbols(at_b)).any(axis=1)
+            same[pair[live[differ]]] = False
+            x[live] += STEP
+            y[live] += STEP
+            live = live[same[pair[live]] & (x[live] < end[live])]
     return same
 
 
-def _exact_key(payload: str) -> bytes:
-    """The fully folded record; only for rows whose 128-bit hashes are equal though they differ."""
-    f = Folded(pa.array([payload]))
-    fields = sorted(tuple(bytes(f.sym[r[i] : r[i + 1]].astype("<u4").tobytes()) for i in (0, 2)) for r in f.runs)
-    return repr(fields).encode()
-
-
 def _collapse(batch: pa.RecordBatch, id_col: str) -> Iterator[pa.RecordBatch]:
     """One row a group of copies within the batch, its smallest id first, with the other ids."""
     for part in slices(batch, "payload"):
@@ -267,10 +293,20 @@ def _collapse(batch: pa.RecordBatch, id_col: str) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _first_like(known: list[tuple[int, Folded]], own: int, record: Folded) -> int:
+    """The id of the first record that reads the same, which may be this one."""
+    zero = np.zeros(1, np.int64)
+    for first, other in known:
+        if same_records(record, zero, other, zero)[0]:
+            return first
+    known.append((own, record))
+    return own
+
+
 def _unite(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
     """Sorted rows of :func:`_collapse`: the first of each run of equal hashes represents the run."""
     held: pa.RecordBatch | None = None
-    odd: dict[bytes, int] = {}
+    odd: dict[tuple, list[tuple[int, Folded]]] = {}
     for big in batches:
         for part in slices(big, "payload"):
             n = part.num_rows
@@ -288,9 +324,8 @@ def _unite(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.Record
                 need = np.union1d(other, rep[other])
                 folded = Folded(whole.column("payload").take(pa.array(need)))
                 same = same_records(folded, np.searchsorted(need, other), folded, np.searchsorted(need, rep[other]))
-                for k in other[~same]:
-                    key = repr((scope[k], h1[k], h2[k])).encode() + _exact_key(whole.column("payload")[int(k)].as_py())
-                    rep_id[k] = odd.setdefault(key, int(ids[k]))
+                for k in other[~same]:  # equal hashes of different records: none in practice
+                    rep_id[k] = _first_like(odd.setdefault((scope[k], h1[k], h2[k]), []), int(ids[k]), Folded(whole.column("payload").slice(int(k), 1)))
             yield pa.RecordBatch.from_arrays([whole.column("scope").slice(extra), pa.array(rep_id[extra:]), *(whole.column(c).slice(extra) for c in (id_col, "members"))], ["scope", "rep", id_col, "members"])
             held = whole.slice(int(rep[-1]), 1)
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from specweave.functions.arrowtext import alnum_table, codepoints, lower_table, mix64, run_hashes, slices, to_strings, word_runs
+from specweave.functions.arrowtext import alnum_table, codepoints, fold_table, mix64, run_hashes, slices, spread_case, to_strings, word_runs
 from specweave.session import cut, scan_width, schema_plus
 
 PASSAGE_WORDS = 13
@@ -33,14 +33,17 @@ _SALTS = (0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
 class Words:
-    """The words of a slice of texts: maximal runs of letters or digits, in lower case."""
+    """The words of a slice of texts: maximal runs of letters or digits, letter case folded."""
 
     def __init__(self, col: pa.Array):
         cps, offs = codepoints(col)
         self.rows = len(offs) - 1
-        self.cps = lower_table()[cps]
         self.start, self.end = word_runs(alnum_table()[cps].astype(bool), offs)
         self.row = np.searchsorted(offs, self.start, "right") - 1
+        cps, moved = spread_case(cps)
+        if moved is not None:
+            self.start, self.end = moved[self.start], moved[self.end]
+        self.cps = fold_table()[cps]
         self.hash = run_hashes(mix64(self.cps.astype(np.uint64) + np.uint64(1)), self.start, self.end, _WORD_BASE)
 
     def signatures(self, size: int) -> tuple[np.ndarray, np.ndarray]:
