@@ -20,19 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.arrowtext import alnum_table, char_table, codepoints, lower_table, slices, to_strings, word_runs
+from specweave.functions.arrowtext import alnum_table, char_table, codepoints, fold_table, slices, to_strings, word_runs
 from specweave.llm.lookform import look_form
 from specweave.session import cut, scan_width, schema_plus
 
 BUCKETS, DIM = 1 << 16, 16
 #: The model is fitted on at most so many labelled documents, those of the smallest hash of the id.
 MOST_LABELLED = 20_000
-PARTS = 8
+#: Labelled documents in a partition of the training table, and ranges in which gradients are added.
+PER_PART, RANGES = 1500, 4
 NAIVE_STEPS, REFINED_STEPS = 20, 24
 RATE, DECAY, SCALE = 0.1, 1e-5, 6.0
 SENTENCES = 2
 SEEN = 0.4
 SURE = 0.3
+#: Of a subject that more of the sentences are labelled with, a sentence without anything to do with it
+#: gets an output near that share; the first model's outputs are taken down to those of this share.
+USUAL_SHARE = 0.2
 #: Fewer words are a heading or a name, not a sentence (runs of ideographs are not counted in words).
 LEAST_WORDS = 4
 MEMO = 1 << 18
@@ -51,7 +55,7 @@ class Sentences:
         n_rows = len(offs) - 1
         cps, offs = _mended(cps, offs)
         cps, offs = look_form(cps, offs)
-        low = lower_table()[cps]
+        low = fold_table()[cps]
         start, end = word_runs(alnum_table()[low].astype(bool), offs)
         letters = np.concatenate([[0], np.cumsum(char_table(_letter)[low])])
         pure = letters[end] - letters[start] == end - start
@@ -127,6 +131,12 @@ def word_features(word: str) -> np.ndarray:
     return got
 
 
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words one behind the other, and how many each has."""
+    feats = [word_features(w) for w in words]
+    return np.concatenate(feats), np.array([f.size for f in feats])
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -152,117 +162,155 @@ class Model:
         self.w = flat[BUCKETS * DIM : BUCKETS * DIM + n_subjects * DIM].reshape(n_subjects, DIM)
         self.b = flat[BUCKETS * DIM + n_subjects * DIM :]
 
-    def forward(self, words: list[str], word: np.ndarray, sentence: np.ndarray, n: int):
-        """Logits of the sentences, and what the gradient needs of the way there. The output of an
-        average is the average of the words' outputs, so only those are spread over the tokens."""
-        feats = [word_features(w) for w in words]
-        size = np.array([f.size for f in feats])
-        flat = np.concatenate(feats)
-        vec = np.add.reduceat(self.e[flat], np.cumsum(size) - size, axis=0) / size[:, None]
-        first = np.searchsorted(sentence, np.arange(n))
-        count = np.diff(np.append(first, sentence.size))
-        z = np.add.reduceat((vec @ self.w.T)[word], first, axis=0) / count[:, None] + self.b
-        return z, vec, count, flat, size
+    def forward(self, feats: np.ndarray, size: np.ndarray, word: np.ndarray, count: np.ndarray):
+        """Logits of the sentences, and the words' vectors. ``feats`` and ``size`` are the buckets of the
+        distinct words, ``word`` the index of each token, ``count`` the tokens of each sentence. The
+        output of an average is the average of the words' outputs, so only those are spread over the
+        tokens."""
+        vec = np.add.reduceat(self.e[feats], np.cumsum(size) - size, axis=0) / size[:, None]
+        z = np.add.reduceat((vec @ self.w.T)[word], np.cumsum(count) - count, axis=0) / count[:, None] + self.b
+        return z, vec
 
     def logits(self, s: Sentences) -> np.ndarray:
         if not s.words or not s.row.size:
             return np.empty((0, self.k), np.float32)
-        return self.forward(s.words, s.word, s.sentence, s.row.size)[0]
+        return self.forward(*features(s.words), s.word, np.bincount(s.sentence))[0]
 
-    def gradient(self, words: list[str], word: np.ndarray, sentence: np.ndarray, row: np.ndarray, labels: np.ndarray, teacher: Model | None) -> tuple[np.ndarray, float]:
-        """Summed gradient over the sentences of labelled documents, and the loss."""
-        n = row.size
-        z, vec, count, flat, size = self.forward(words, word, sentence, n)
-        p = _sigmoid(z)
+    def gradient(self, feats: np.ndarray, size: np.ndarray, word: np.ndarray, count: np.ndarray, row: np.ndarray, labels: np.ndarray, teacher: Model | None, shift: np.ndarray) -> np.ndarray:
+        """Summed gradient over the sentences of labelled documents."""
+        z, vec = self.forward(feats, size, word, count)
         y = labels[row].astype(np.float32)
         if teacher is not None:
             # Of a label's sentences, those count in which the first model sees it, and none of the
             # document's other labels more clearly.
-            mine = y * _sigmoid(teacher.forward(words, word, sentence, n)[0])
+            mine = y * _sigmoid(teacher.forward(feats, size, word, count)[0] + shift)
             y = ((mine >= SEEN) & (mine >= 0.8 * mine.max(axis=1, keepdims=True))).astype(np.float32)
-        d = p - y
-        loss = float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).sum())
+        d = _sigmoid(z) - y
         g = np.zeros_like(self.flat)
         out = Model(self.k, g)
-        by_word = _scatter(word, (d / count[:, None])[sentence], len(words))
+        by_word = _scatter(word, np.repeat(d / count[:, None], count, axis=0), size.size)
         out.w[:] = by_word.T @ vec
         out.b[:] = d.sum(axis=0)
-        out.e[:] = _scatter(flat, np.repeat((by_word @ self.w) / size[:, None], size, axis=0), BUCKETS)
-        return g, loss
+        out.e[:] = _scatter(feats, np.repeat((by_word @ self.w) / size[:, None], size, axis=0), BUCKETS)
+        return g
+
+
+_TRAINING = "feats array<int>, sizes array<int>, tokens array<int>, lengths array<int>, rows array<int>, labels array<boolean>"
 
 
 def training_table(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str) -> DataFrame:
     """Labelled documents cut into words and sentences, one row a slice of documents."""
     index = {s: i for i, s in enumerate(subjects)}
     named = labels.groupBy(id_col).agg(F.collect_set("subject").alias("subjects"))
-    sample = named.orderBy(F.xxhash64(id_col), id_col).limit(MOST_LABELLED)
-    rows = docs.select(id_col, text_col).where(f"{text_col} is not null").join(sample, id_col).select(text_col, "subjects")
+    sample = cut(named.orderBy(F.xxhash64(id_col), id_col).limit(MOST_LABELLED), "sample")
+    parts = max(1, -(-sample.count() // PER_PART))
+    # At most MOST_LABELLED ids with their subjects: the corpus is filtered in its scan, not shuffled.
+    rows = docs.select(id_col, text_col).where(f"{text_col} is not null").join(F.broadcast(sample), id_col).select(text_col, "subjects")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big, text_col):
                 s = Sentences(b.column(0))
+                if not s.row.size:
+                    continue
                 y = np.zeros((b.num_rows, len(index)), bool)
                 for r, names in enumerate(b.column(1).to_pylist()):
                     for x in names or ():
                         if x in index:
                             y[r, index[x]] = True
-                counts = np.bincount(s.sentence, minlength=s.row.size) if s.row.size else []
-                cols = [[s.words], [s.word.astype(np.int32)], [np.asarray(counts, np.int32)], [s.row.astype(np.int32)], [y.ravel()]]
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(t)) for c, t in zip(cols, kinds, strict=True)], ["words", "tokens", "lengths", "rows", "labels"])
+                feats, sizes = features(s.words)
+                cols = [feats, sizes, s.word, np.bincount(s.sentence), s.row]
+                arrays = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in cols]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([y.ravel()], pa.list_(pa.bool_()))], ["feats", "sizes", "tokens", "lengths", "rows", "labels"])
+
+    return cut(rows.repartition(parts).mapInArrow(run, _TRAINING), "labelled")
+
 
-    table = rows.repartition(PARTS).mapInArrow(run, "words array<string>, tokens array<int>, lengths array<int>, rows array<int>, labels array<boolean>")
-    return cut(table, "labelled")
+def label_shares(table: DataFrame, n_subjects: int) -> np.ndarray:
+    """The share of the sentences that stand in documents labelled with each subject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, n = np.zeros(n_subjects), 0
+        for b in batches:
+            for rows, y in zip(b.column(0), b.column(1), strict=True):
+                rows = rows.values.to_numpy()
+                hits += y.values.to_numpy(zero_copy_only=False).reshape(-1, n_subjects)[rows].sum(axis=0)
+                n += rows.size
+        yield pa.RecordBatch.from_arrays([pa.array([hits.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["hits", "n"])
+
+    per = table.select("rows", "labels").mapInArrow(run, "hits array<double>, n bigint").where("n > 0")
+    summed = per.select("n", F.posexplode("hits").alias("k", "hits")).groupBy("k").agg((F.sum("hits") / F.sum("n")).alias("share")).collect()
+    out = np.zeros(n_subjects)
+    for r in summed:
+        out[r["k"]] = r["share"]
+    return out
 
 
 def train(table: DataFrame, n_subjects: int) -> Model:
-    """Steps of Adam on gradients that the partitions compute and the driver adds up; what comes to
-    the driver in a step is one vector of the model's size a partition, of which there are few."""
+    """Steps of Adam on gradients that the partitions compute and the executors add up; what comes to
+    the driver in a step is one vector of the model's size."""
     sc = table.sparkSession.sparkContext
     model = Model(n_subjects)
     m, v = np.zeros_like(model.flat), np.zeros_like(model.flat)
+    width = -(-model.flat.size // RANGES)
+    schema = "part int, at binary, g binary, n bigint"
+
+    shares = label_shares(table, n_subjects)
+    shift = np.minimum(0, np.log(USUAL_SHARE / (1 - USUAL_SHARE)) - np.log((shares + 1e-6) / (1 - shares + 1e-6))).astype(np.float32)
 
     def gradients(shared, guide):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, teacher = Model(n_subjects, shared.value), guide and Model(n_subjects, guide.value)
-            total, loss, n = None, 0.0, 0
+            total, n = np.zeros_like(own.flat), 0
             for b in batches:
-                for words, tokens, lengths, rows, labels in zip(*(c for c in b.columns), strict=True):
-                    lengths = lengths.values.to_numpy()
-                    if lengths.size == 0:
-                        continue
-                    sentence = np.repeat(np.arange(lengths.size), lengths)
-                    y = labels.values.to_numpy(zero_copy_only=False).reshape(-1, n_subjects)
-                    g, part = own.gradient(words.as_py(), tokens.values.to_numpy(), sentence, rows.values.to_numpy(), y, teacher)
-                    total = g if total is None else total + g
-                    loss, n = loss + part, n + lengths.size
-            if total is not None:
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at.astype(np.int32).tobytes(), total[at].tobytes(), loss, n)], ["at", "g", "loss", "n"])
+                for row in zip(*b.columns, strict=True):
+                    feats, sizes, word, count, rows = (x.values.to_numpy() for x in row[:5])
+                    y = row[5].values.to_numpy(zero_copy_only=False).reshape(-1, n_subjects)
+                    total += own.gradient(feats, sizes, word, count, rows, y, teacher, shift)
+                    n += count.size
+            if n:
+                for part in range(RANGES):
+                    piece = total[part * width : (part + 1) * width]
+                    at = np.flatnonzero(piece)
+                    yield _piece(part, at, piece[at], n)
 
         return run
 
-    schema = "at binary, g binary, loss double, n bigint"
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for b in batches:
+            for part, at, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                np.add.at(sums.setdefault(part, np.zeros(width, np.float32)), np.frombuffer(at, np.int32), np.frombuffer(g, np.float32))
+                counts[part] = counts.get(part, 0) + n
+        for part, total in sums.items():
+            at = np.flatnonzero(total)
+            yield _piece(part, at, total[at], counts[part])
+
     guide = None
     for step in range(1, NAIVE_STEPS + REFINED_STEPS + 1):
         shared = sc.broadcast(model.flat)
         if step == NAIVE_STEPS + 1:
             guide = sc.broadcast(model.flat)
-        g, n = np.zeros(model.flat.size, np.float64), 0
-        for r in table.mapInArrow(gradients(shared, guide), schema).collect():
-            np.add.at(g, np.frombuffer(r["at"], np.int32), np.frombuffer(r["g"], np.float32))
-            n += r["n"]
+        g, n = np.zeros(model.flat.size, np.float32), 0
+        for r in table.mapInArrow(gradients(shared, guide), schema).repartition(RANGES, "part").mapInArrow(added, schema).collect():
+            g[r["part"] * width + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["g"], np.float32)
+            n = r["n"]
         shared.destroy()
         if n == 0:
             break
-        g = (g / n + DECAY * model.flat).astype(np.float32)
+        g = g / n + np.float32(DECAY) * model.flat
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         flat = model.flat - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         model = Model(n_subjects, flat.astype(np.float32))
     return model
 
 
+def _piece(part: int, at: np.ndarray, g: np.ndarray, n: int) -> pa.RecordBatch:
+    cols = [pa.array([part], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([g.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["part", "at", "g", "n"])
+
+
 def sentence_subjects(p: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     """How many sentences of each row count for each subject."""
     speaks = np.where(p >= 0.2, p, 0)
