@@ -8,7 +8,8 @@ and one band of ``ROWS`` min-hashes over the five-word shingles (shorter ones in
 words) has no false negative. The signature of a document's window is the sliding minimum over its
 shingles' hashes, for all windows of a batch at once. Signatures that no item has are dropped in
 the scan by a Bloom filter of bounded size; the rest are joined on the signature and verified by
-comparing the words themselves.
+comparing the words themselves; the passages are broadcast while they are small, so that no passage,
+however many documents hold it, gathers them in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from specweave.functions.arrowtext import alnum_table, codepoints, fold_table, mix64, run_hashes, slices, spread_case, to_strings, word_runs
 from specweave.session import cut, scan_width, schema_plus
@@ -28,6 +30,8 @@ ROWS = 2
 #: The Bloom filter has 16 bits a signature, up to this many bits (32 MB); beyond, it lets more
 #: windows through and the join drops them: only the shuffle grows.
 BLOOM_BITS = 1 << 28
+#: Passages of up to so many bytes go to every executor; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 _WORD_BASE, _SHINGLE_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _SALTS = (0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -181,4 +185,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
                     )
 
     found = scan_width(docs.select(doc_id, text_col)).mapInArrow(run, schema)
+    size = passages.select(F.sum(F.octet_length("passage") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        passages = F.broadcast(passages)  # of a measured size: a passage of most documents meets no single task
+    else:
+        found = found.distinct()  # repeats of a passage in a document are dropped before they are sent
     return found.join(passages, ["size", "sig", "passage"]).select(doc_id, item_id).distinct()

@@ -27,6 +27,8 @@ DEFAULT_DIR = "/opt/tokenizers"
 DEFAULT_VOCAB = "byte_bpe_50k"
 #: Pieces up to this many characters are memoised, up to so many of them in a worker.
 MEMO_CHARS, MEMO_SIZE = 24, 400_000
+#: Neighbouring tokens whose compatibility a worker remembers.
+PAIRS_SIZE = 2_000_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -71,7 +73,9 @@ class MergeEncoder:
         """Whether the merges, run on the bytes of both tokens, keep the border between them."""
         key = (left, right)
         if (got := self.compatible.get(key)) is None:
-            got = self.compatible[key] = self._fits(left, right)
+            got = self._fits(left, right)
+            if len(self.compatible) < PAIRS_SIZE:
+                self.compatible[key] = got
         return got
 
     def _fits(self, left: int, right: int) -> bool:

@@ -202,6 +202,13 @@ def test_leaks(spark):
     assert rows(leakage.leaks(d.limit(0), i)) == [] and rows(leakage.leaks(d, i.limit(0))) == []
 
 
+def test_leaks_by_shuffled_passages(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 0)
+    docs, items = [(1, "one two " * 40), (2, "two"), (3, None)], [(7, "One, two"), (8, "two one " * 9)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert rows(leakage.leaks(d, i)) == slow_leaks(docs, items) == [(1, 7), (1, 8)]
+
+
 def test_bloom_has_no_false_negative():
     import numpy as np
 
