@@ -1,9 +1,12 @@
 """Problem 5: what changed between consecutive full snapshots.
 
-Each snapshot is a set of (key, value digest) entries. Keys are bucketed into hash ranges; the ranges
-are the leaves of a Merkle tree whose nodes hold order-free digests of what lies below them. Trees
-of consecutive snapshots are compared from the root down, one join a level, each over the children
-of nodes that differed only; entries themselves meet in buckets whose digests differ.
+Each snapshot is a set of (item, value digest) entries. Items are bucketed into hash ranges; the
+ranges are the leaves of a Merkle tree, and every node's digest is the exclusive or of its
+children's. The digests of a snapshot are computed once; trees of consecutive snapshots are compared
+from the root down, at each level among the children of nodes that differed only, and entries meet
+in ranges whose digests differ. The one shuffle of the entries is by spec, kind and hash range: what
+falls into a range is made distinct, digested and compared where it lies, and a spec that holds a
+third of all rows is spread over its ranges.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from specweave.session import cut
 #: Hash bits that choose the leaf, and bits from a level to the next. 2**12 ranges a snapshot and
 #: kind keep a leaf at a few thousand entries for snapshots of ten million.
 LEAF_BITS = 12
-LEVEL_BITS = 4
+LEVEL_BITS = 6
+_SPREAD = ["spec_id", "kind", "leaf"]
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -37,33 +41,27 @@ def consecutive(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("spec_id", "snapshot_no").distinct().withColumn("prev_no", F.lag("snapshot_no").over(w)).where("prev_no is not null")
 
 
-def _entries(df: DataFrame, kind: str, item: Column, value: Column) -> DataFrame:
+def _rows(df: DataFrame, kind: str, item: Column, value: Column) -> DataFrame:
     return df.select("spec_id", "snapshot_no", F.lit(kind).alias("kind"), item.alias("item"), value.alias("val"))
 
 
-def snapshot_entries(values: DataFrame, conflicts: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row per (spec, snapshot, kind, item) with a digest of its value and the item's hash.
+def snapshot_entries(values: DataFrame, conflicts: DataFrame, gaps: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """One row per (spec, snapshot, kind, item) with its leaf and a digest of its value, spread by spec,
+    kind and leaf.
 
     Repeated rows count once; an item given with several values in one snapshot stands for the set.
     """
     key = F.concat_ws("|", F.coalesce("component_id", F.lit("")), F.coalesce("canonical_name", F.lit("")), F.coalesce("condition", F.lit("")))
-    v = _entries(values, "value", key, comparable_value(F.col("value")))
-    c = _entries(conflicts, "conflict", F.col("contradiction_id"), F.lit(""))
-    g = _entries(gaps, "gap", F.col("field"), F.lit(""))
+    v = _rows(values, "value", key, F.xxhash64(comparable_value(F.col("value"))))
+    c = _rows(conflicts, "conflict", F.col("contradiction_id"), F.lit(0).cast("bigint"))
+    g = _rows(gaps, "gap", F.col("field"), F.lit(0).cast("bigint"))
     rows = v.unionAll(c).unionAll(g).where("spec_id is not null and snapshot_no is not null and item is not null")
-    digest = F.xxhash64(F.array_sort(F.collect_set("val"))).alias("vd")
-    return rows.groupBy("spec_id", "snapshot_no", "kind", "item").agg(digest).withColumn("ih", F.xxhash64("item"))
-
-
-def _both_sides(entries: DataFrame, values: DataFrame) -> DataFrame:
-    """Entries by comparison: those of a snapshot are the new side of its own step and the old side
-    of the next one's."""
-    steps = consecutive(values)
-    turn = F.struct(F.col("snapshot_no").alias("step"), F.lit(True).alias("is_new"))
-    new = steps.select("spec_id", "snapshot_no", turn.alias("t"))
-    old = steps.select("spec_id", F.col("prev_no").alias("snapshot_no"), F.struct(F.col("snapshot_no").alias("step"), F.lit(False).alias("is_new")).alias("t"))
-    turns = new.unionAll(old).groupBy("spec_id", "snapshot_no").agg(F.collect_list("t").alias("turns"))  # two at most
-    return entries.join(turns, ["spec_id", "snapshot_no"]).select("spec_id", F.inline("turns"), "kind", "item", "ih", "vd")
+    leaf = F.shiftrightunsigned(F.xxhash64("item"), 64 - leaf_bits).cast("int")
+    # Few rows repeat, so nothing would be gained by making them distinct before they are sent.
+    spread = rows.withColumn("leaf", leaf).repartition(*_SPREAD)
+    once = spread.groupBy(*_SPREAD, "snapshot_no", "item", "val").agg(F.lit(1).alias("one"))
+    # A set of distinct hashes: its exclusive or and its size.
+    return once.groupBy(*_SPREAD, "snapshot_no", "item").agg(F.xxhash64(F.bit_xor("val"), F.count(F.lit(1))).alias("vd"))
 
 
 def snapshot_changes(values: DataFrame, conflicts: DataFrame, gaps: DataFrame, leaf_bits: int = LEAF_BITS, level_bits: int = LEVEL_BITS) -> DataFrame:
@@ -75,25 +73,32 @@ def snapshot_changes(values: DataFrame, conflicts: DataFrame, gaps: DataFrame, l
     empty one. Rows without spec, number or item are left out; load times do not matter; empty tables
     give an empty result; other columns are not read.
     """
-    sides = cut(_both_sides(snapshot_entries(values, conflicts, gaps), values), "entries")
-    bucket = F.shiftrightunsigned("ih", 64 - leaf_bits)
-    # A node's digest is the exclusive or of its entries' hashes, with their number: free of order,
-    # combined before the shuffle. Entries are distinct, so none cancels another.
-    one = F.xxhash64("ih", "vd", "item")
-    side = lambda x: F.when(F.col("is_new") == x, one)
-    leaf = sides.groupBy("spec_id", "step", "kind", bucket.alias("bucket")).agg(F.bit_xor(side(True)).alias("now"), F.count(side(True)).alias("n_now"), F.bit_xor(side(False)).alias("before"), F.count(side(False)).alias("n_before"))
-    leaf = cut(leaf, "leaves")
+    entries = snapshot_entries(values, conflicts, gaps, leaf_bits)
+    node = F.xxhash64("item", "vd")  # entries are distinct, so none cancels another
+    leaves = entries.groupBy(*_SPREAD, "snapshot_no").agg(F.bit_xor(node).alias("d"), F.count(F.lit(1)).alias("n"))
+    levels = {leaf_bits: leaves.withColumnRenamed("leaf", "node")}
+    for bits in range(leaf_bits - level_bits, -1, -level_bits):  # each level from the one below
+        below = levels[bits + level_bits].withColumn("node", F.shiftright("node", level_bits))
+        levels[bits] = below.groupBy("spec_id", "kind", "node", "snapshot_no").agg(F.bit_xor("d").alias("d"), F.sum("n").alias("n"))
+    # A snapshot is the new side of its own step and the old side of the next one's.
+    steps = consecutive(values)
+    turn = F.struct(F.col("snapshot_no").alias("step"), F.lit(True).alias("is_new"))
+    old = F.struct(F.col("snapshot_no").alias("step"), F.lit(False).alias("is_new"))
+    turns = steps.select("spec_id", "snapshot_no", turn.alias("t")).unionAll(steps.select("spec_id", F.col("prev_no").alias("snapshot_no"), old.alias("t")))
+    turns = cut(turns.groupBy("spec_id", "snapshot_no").agg(F.collect_list("t").alias("turns")), "turns")  # two at most
+    side = lambda x, c: F.max(F.when(F.col("is_new") == x, F.col(c)))
     differing = None
-    for bits in range(0, leaf_bits + 1, level_bits):
-        node = F.shiftright("bucket", leaf_bits - bits)
-        level = leaf.groupBy("spec_id", "step", "kind", node.alias("node")).agg(F.bit_xor("now").alias("now"), F.sum("n_now").alias("n_now"), F.bit_xor("before").alias("before"), F.sum("n_before").alias("n_before"))
-        level = level.where("not (now <=> before) or n_now <> n_before")
+    for bits in range(leaf_bits % level_bits, leaf_bits + 1, level_bits):
+        level = levels[bits].join(turns, ["spec_id", "snapshot_no"]).select("spec_id", "kind", "node", F.inline("turns"), F.xxhash64("d", "n").alias("digest"))
         if differing is not None:
             parent = differing.withColumnRenamed("node", "parent")
             level = level.withColumn("parent", F.shiftright("node", level_bits)).join(parent, ["spec_id", "step", "kind", "parent"], "left_semi")
-        differing = level.select("spec_id", "step", "kind", "node")
-    touched = sides.withColumn("node", bucket).join(differing, ["spec_id", "step", "kind", "node"], "left_semi")
-    items = touched.groupBy("spec_id", "step", "kind", "item").agg(F.max(F.when(F.col("is_new"), F.col("vd"))).alias("now"), F.max(F.when(~F.col("is_new"), F.col("vd"))).alias("before"))
+        both = level.groupBy("spec_id", "kind", "node", "step").agg(side(True, "digest").alias("now"), side(False, "digest").alias("before"))
+        differing = both.where("not (now <=> before)").select("spec_id", "kind", "node", "step")
+    # The differing leaves with the snapshots that they are to be read from.
+    wanted = differing.withColumnRenamed("node", "leaf").join(turns.select("spec_id", "snapshot_no", F.inline("turns")), ["spec_id", "step"])
+    touched = entries.join(wanted, [*_SPREAD, "snapshot_no"])
+    items = touched.groupBy(*_SPREAD, "step", "item").agg(side(True, "vd").alias("now"), side(False, "vd").alias("before"))
     opened = F.when(F.col("kind") == "value", "value_added").otherwise(F.concat("kind", F.lit("_opened")))
     closed = F.when(F.col("kind") == "value", "value_removed").otherwise(F.concat("kind", F.lit("_closed")))
     what = F.when(F.col("before").isNull(), opened).when(F.col("now").isNull(), closed).otherwise("value_changed")
