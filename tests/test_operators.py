@@ -52,6 +52,38 @@ def test_missing_units_by_mixture(spark):
     assert sum(out[f"m{i}"]["assigned_unit"] == "ms" and not out[f"m{i}"]["uncertain"] for i in range(60)) > 50
 
 
+def test_bare_ppm_numbers_go_through_the_mixture(spark):
+    rng = random.Random(5)
+    data = [(f"k{i}", "d", f"{rng.lognormvariate(3, 0.4):.3f}", "%", None) for i in range(200)] + [(f"b{i}", "d", f"{rng.lognormvariate(-1.6, 0.4):.4f}", None, None) for i in range(50)]
+    data += [("zero", "d", "0", None, None), ("far", "d", "250000", None, None)]
+    df = spark.createDataFrame(data, "claim_id string, canonical_name string, value string, unit string, quote string")
+    names = spark.createDataFrame([("d", "ppm")], "canonical_name string, common_unit string")
+    out = {r["claim_id"]: r for r in units.convert_units(df, names).collect()}
+    assert all(out[f"b{i}"]["assigned_unit"] == "ratio" or out[f"b{i}"]["assigned_unit"] == "fraction" for i in range(50))
+    assert all(out[f"b{i}"]["common_value"] == round(Fraction(v) * 10**6) for i, v in ((i, dict((c, v) for c, _, v, _, _ in data)[f"b{i}"]) for i in range(50)))
+    assert out["far"]["assigned_unit"] in ("ratio", "fraction")  # the prior stands for the rule, also far from all others
+    assert out["zero"]["common_value"] == 0 and out["zero"]["uncertain"]
+    found = units.mixed_amounts(df, names)
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().toString()
+    assert {r["claim_id"] for r in found.collect()} == {c for c, *_ in data}
+
+
+def test_hidden_units_are_assigned(spark):
+    """Units that were written and are hidden come out again where the mixture is certain."""
+    rng, factor = random.Random(9), {"ms": 1, "s": 1000, "h": 3600000}
+    data, true = [], {}
+    for i in range(600):
+        ms, unit = rng.lognormvariate(13, 0.5), rng.choice(["ms", "s", "s", "h"])
+        hidden = i % 4 == 0
+        data.append((f"c{i}", "t", f"{ms / factor[unit]:.6f}", None if hidden else unit, None))
+        true[f"c{i}"] = unit if hidden else None
+    df = spark.createDataFrame(data, "claim_id string, canonical_name string, value string, unit string, quote string")
+    got = units.convert_units(df, spark.createDataFrame([("t", "ms")], "canonical_name string, common_unit string")).where("origin = 'none'").collect()
+    sure = [r for r in got if not r["uncertain"]]
+    right = [r for r in sure if r["assigned_unit"] == true[r["claim_id"]]]
+    assert len(got) == 150 and len(sure) >= 100 and len(right) >= 0.95 * len(sure)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**12), st.sampled_from([",", " ", "_", " "]))
 def test_grouped_numbers_round_trip(n, sep):
