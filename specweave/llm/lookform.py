@@ -3,8 +3,9 @@
 A batch's code points are mapped at once: a table lookup gives each code point the number of code
 points it becomes (none for unseen ones), offsets spread the expansions, marks are put into
 canonical order by one sort and composed with their letters pair by pair. What becomes one form:
-width (full- and half-width forms), kind of space, ligatures, look-alike letters of Latin, Greek
-and Cyrillic, unseen characters, and composed against decomposed accents. What stays: letter case,
+width (full- and half-width forms), kind of space, ligatures (digraphs and Roman numerals among
+them), look-alike letters of Latin, Greek, Cyrillic, Armenian, Cherokee and Coptic, letters in
+mathematical type faces, unseen characters, and composed against decomposed accents. What stays: letter case,
 accents, raised and lowered digits, dashes of different length, visible punctuation, the number of
 blanks.
 """
@@ -24,18 +25,25 @@ from pyspark.sql import types as T
 from specweave.functions.arrowtext import MAX_CP, codepoints, to_strings
 from specweave.session import cut
 
-# Letters that are drawn as the Latin letter given, after Unicode's confusables.
+# Letters that are drawn as the letter given, after Unicode's published list of confusable
+# characters. Small letters that are drawn as small capitals stand for one another, not for a Latin one.
 LOOK_ALIKES = {
-    "Cyrillic": {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W"},
+    "Cyrillic": {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V"},
     "Greek": {"ο": "o", "ν": "v", "ι": "i", "ρ": "p", "α": "a", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J"},
-    "Latin and Armenian": {"ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ո": "n"},
+    "small capitals": {"к": "ᴋ", "κ": "ᴋ", "ĸ": "ᴋ", "т": "ᴛ", "τ": "ᴛ", "н": "ʜ", "м": "ᴍ", "в": "ʙ", "ѡ": "ω", "ԍ": "ɢ"},
+    "Latin and Armenian": {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ɪ": "i", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ո": "n", "յ": "j", "զ": "q", "գ": "q", "Օ": "O", "Ս": "U", "Լ": "L"},
+    "Cherokee": {"Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꭹ": "Y", "Ꮓ": "Z"},
+    "Coptic": {"ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X"},
     "other": {"µ": "μ", "‐": "-", "‑": "-", "﹣": "-", "ʼ": "’"},
 }
 # Characters that show nothing and are of no format category.
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
 # Characters other than space separators that are a blank.
 BLANKS = "\t\n\v\f\r\x85  "
-_LIGATURES = range(0xFB00, 0xFB50)
+# Blocks whose compatibility decompositions are ligatures: presentation forms, Roman
+# numerals, Latin digraphs; and blocks of letters and digits in other type faces.
+_LIGATURES = (range(0xFB00, 0xFB50), range(0x2160, 0x2180), range(0x0132, 0x0134), range(0x01C4, 0x01CD), range(0x01F1, 0x01F4))
+_TYPE_FACES = (range(0x2100, 0x2150), range(0x1D400, 0x1D800))
 
 
 @cache
@@ -60,7 +68,8 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
                 step = ""
                 for x in out:
                     d = unicodedata.decomposition(x)
-                    if d.startswith(("<wide>", "<narrow>")) or d.startswith("<compat>") and ord(x) in _LIGATURES:
+                    ligature = d.startswith("<compat>") and any(ord(x) in r for r in _LIGATURES)
+                    if d.startswith(("<wide>", "<narrow>")) or ligature or d.startswith("<font>") and any(ord(x) in r for r in _TYPE_FACES):
                         d = "".join(chr(int(p, 16)) for p in d.split(" ")[1:])
                     elif d and not d.startswith("<"):
                         d = unicodedata.normalize("NFD", x)
@@ -180,24 +189,47 @@ def normal_form(text: Column) -> Column:
     return F.when(plain, text).otherwise(_form(F.when(~plain, text)))
 
 
+def _groups(df: DataFrame, id_col: str, text_col: str, scope_cols: list[str]) -> DataFrame:
+    """``(h, k, id, raw, g)``: rows whose scope and form are met with more than one string; ``g`` holds
+    both, ``h`` and ``k`` are hashes of them.
+
+    Which groups have several strings is found from hashes alone, combined before they are sent; texts
+    are sent only where they are in such a group. Rows written but once are never sent."""
+    key = [F.col(c).alias(f"k{i}") for i, c in enumerate(scope_cols)]
+    names = [f"k{i}" for i in range(len(key))]
+    raw = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("raw"), *key).where("raw <> ''")
+    rows = raw.withColumn("form", normal_form(F.col("raw"))).where("trim(form) <> ''")
+    h, k = F.xxhash64("form", *names), F.xxhash64(F.lit(7), *reversed(names), "form")
+    rows = cut(rows.select("id", "raw", h.alias("h"), k.alias("k"), F.struct("form", *names).alias("g")), "forms")
+    r, q = F.xxhash64("raw"), F.hash("raw")
+    several = rows.groupBy("h", "k").agg(F.min(r).alias("lo"), F.max(r).alias("hi"), F.min(q).alias("lo2"), F.max(q).alias("hi2")).where("lo <> hi or lo2 <> hi2").select("h", "k")
+    return cut(rows.join(several, ["h", "k"], "left_semi").distinct(), "alike")
+
+
 def equal_looking(df: DataFrame, id_col: str, text_col: str, scope_cols: list[str]) -> DataFrame:
     """``(id_a, id_b)``: pairs of different ids in one scope whose texts look the same though they
     are different strings; ``id_a < id_b``, once each.
 
     Null and empty texts, and those in which nothing can be seen, are in no pair; null is no scope
-    of its own but equal to null. Repeated rows count once. Pairs are found between the distinct
-    strings of a scope; only their members are paired, so a group of equal strings never meets itself.
+    of its own but equal to null. Repeated rows count once. The distinct strings of a group meet on a
+    128-bit hash of scope and form and are compared after; then only their members are paired, so a
+    group of equal strings never meets itself.
     """
-    key = [F.col(c).alias(f"k{i}") for i, c in enumerate(scope_cols)]
-    raw = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("raw"), *key).where("raw <> ''")
-    rows = raw.withColumn("form", normal_form(F.col("raw"))).where("trim(form) <> ''")
-    rows = cut(rows.select("id", "raw", F.xxhash64("form", *[f"k{i}" for i in range(len(key))]).alias("h"), F.struct("form", *[f"k{i}" for i in range(len(key))]).alias("g")), "forms")
-    strings = rows.groupBy("h", "g", "raw").agg(F.lit(1).alias("one")).drop("one")
-    several = strings.groupBy("h", "g").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("h", "g")
-    few = strings.join(several, ["h", "g"], "left_semi")
-    a, b = few.withColumnRenamed("raw", "raw_a"), few.withColumnRenamed("raw", "raw_b")
-    pairs = a.join(b, ["h", "g"]).where("raw_a < raw_b")
-    left = rows.select("h", "g", F.col("raw").alias("raw_a"), F.col("id").alias("x")).distinct()
-    right = rows.select("h", "g", F.col("raw").alias("raw_b"), F.col("id").alias("y")).distinct()
-    met = pairs.join(left, ["h", "g", "raw_a"]).join(right, ["h", "g", "raw_b"]).where("x <> y")
+    rows = _groups(df, id_col, text_col, scope_cols)
+    strings = rows.select("h", "k", "raw", "g").distinct()
+    a, b = (strings.select("h", "k", F.col("raw").alias(f"raw_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
+    pairs = a.join(b, ["h", "k"]).where("raw_a < raw_b and g_a <=> g_b").select("h", "k", "g_a", "raw_a", "raw_b")
+    left, right = (rows.select("h", "k", F.col("g").alias("g_a"), F.col("raw").alias(f"raw_{x}"), F.col("id").alias(y)) for x, y in ("ax", "by"))
+    met = pairs.join(left, ["h", "k", "g_a", "raw_a"]).join(right, ["h", "k", "g_a", "raw_b"]).where("x <> y")
     return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def look_classes(df: DataFrame, id_col: str, text_col: str, scope_cols: list[str]) -> DataFrame:
+    """``(id, class_id, n_strings, n_members, n_links)``: each row that looks like another one, with the
+    smallest id of its class, how many strings and ids the class has and with how many ids this one
+    makes a pair. One row an id, however large the class; an id with several texts has a row for each."""
+    rows = _groups(df, id_col, text_col, scope_cols)
+    strings = rows.groupBy("h", "k", "g", "raw").agg(F.count_distinct("id").alias("same"), F.min("id").alias("first"))
+    classes = strings.groupBy("h", "k", "g").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n_strings"), F.sum("same").alias("n_members")).where("n_strings > 1")
+    own = rows.select("h", "k", "id", "raw").join(strings.select("h", "k", "g", "raw", "same"), ["h", "k", "raw"]).join(classes.drop("g"), ["h", "k"])
+    return own.select("id", "class_id", "n_strings", "n_members", (F.col("n_members") - F.col("same")).alias("n_links")).distinct()

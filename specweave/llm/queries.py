@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specweave.llm.copies import copies, distinct_records
 from specweave.llm.leakage import leaks
-from specweave.llm.lookform import equal_looking, normal_form
+from specweave.llm.lookform import equal_looking, look_classes, normal_form
 from specweave.llm.namelist import map_names, match_names
 from specweave.llm.subjects import document_subjects
 from specweave.llm.tokenize import token_ids
@@ -29,6 +29,13 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.unionAll(claims).select("field", "id", normal_form(F.col("text")).alias("form"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = look_classes(table(spark, sf_dir, "rejected_claims"), "rejected_id", "quote", ["scope_id"])
+    claims = table(spark, sf_dir, "claims", "claim_id", "condition", "provenance.scope_id", "canonical_name")
+    conditions = look_classes(claims, "claim_id", "condition", ["scope_id", "canonical_name"])
+    return quotes.select(F.lit("quote").alias("field"), "*").unionAll(conditions.select(F.lit("condition").alias("field"), "*"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "claim_candidates"))
 
@@ -67,7 +74,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_names": p4_names, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
+    return {"p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_names": p4_names, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 def oracle_sql() -> dict[str, str]:
