@@ -77,5 +77,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_names": p4_names, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
+# Words of documents and items, passages of items, and every run of words of a passage's length.
+_LEAKS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT item_id, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s, w FROM i WHERE len(w) > 0),
+passages AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS t FROM p), sizes AS (SELECT DISTINCT n FROM passages),
+r AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d JOIN sizes ON len(w) >= n),
+runs AS (SELECT DISTINCT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS t FROM r)
+SELECT DISTINCT doc_id, item_id FROM runs JOIN passages USING (n, t)"""
+
+
+# What a record's name or value is without white space, letter case and punctuation. Signs, points and
+# exponents of numbers are marked first (as a, b, c in private characters) and so stay.
+def _folded(x: str) -> str:
+    sub = lambda t, pattern, to: f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    t = sub(x, r"(\d[eE])[-−](\d)", "\\1\ue000\\2")
+    t = sub(sub(t, r"(\d)\.(\d)", "\\1\ue001\\2"), r"(\d)\.(\d)", "\\1\ue001\\2")
+    t = sub(t, r"(^|[^\p{L}\p{M}\p{Nd}.])\.(\d)", "\\1\ue001\\2")
+    t = sub(t, r"(^|[^\p{L}\p{M}\p{Nd}])[-−]([\d\x{e001}])", "\\1\ue000\\2")
+    t = sub(t, r"^([\p{P}\p{Z}\p{Cc}]*)[-−][\p{P}\p{Z}\p{Cc}]*([\d\x{e001}])", "\ue000\\2")
+    return f"lower({sub(t, r'[\p{P}\p{Z}\p{Cc}\p{Cf}−]+', '')})"
+
+
+_RECORDS = f"""WITH c AS (SELECT record_id, scope_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM claim_candidates),
+f AS (SELECT record_id, coalesce(scope_id, '') AS scope_id, {_folded('k')} AS name, {_folded("coalesce(json_extract_string(j, '$.\"' || k || '\"'), '')")} AS value FROM (SELECT *, unnest(json_keys(j)) AS k FROM c WHERE json_type(j) = 'OBJECT')),
+r AS (SELECT record_id, scope_id, string_agg(name || chr(30) || value, chr(31) ORDER BY name, value) FILTER (value <> '') AS record FROM f GROUP BY record_id, scope_id),
+g AS (SELECT *, min(record_id) OVER (PARTITION BY scope_id, record) AS first, count(*) OVER (PARTITION BY scope_id, record) AS n FROM r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"{_RECORDS} SELECT first AS record_id_a, record_id AS record_id_b FROM g WHERE record_id <> first",
+        "p3_records": f"{_RECORDS} SELECT record_id, scope_id, n AS n_copies FROM g WHERE record_id = first",
+        "p7_found": _LEAKS,
+    }
