@@ -1,11 +1,7 @@
 """Queries do the whole job: small tables on which a part of it gives other results."""
 
-import random
-
-import numpy as np
 import pandas as pd
 
-from specweave.llm import namelist, subjects
 from specweave.plans import pipeline, queries
 from specweave.sources.store import RunStore
 
@@ -82,14 +78,6 @@ def test_paper_components_link_whatever_the_condition(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e")]
 
 
-def test_a_sentence_counts_for_every_sure_subject():
-    p = np.array([[0.9, 0.8], [0.8, 0.9], [0.6, 0.5], [0.9, 0.0], [0.9, 0.1], [0.1, 0.9], [0.1, 0.1]], np.float32)
-    row = np.array([0, 0, 1, 1, 1, 2, 3])
-    # Two sentences on both; a word of several senses counts in that of the text; one sentence; none.
-    assert subjects.sentence_subjects(p, row, 5).tolist() == [[2, 2], [3, 0], [0, 1], [0, 0], [0, 0]]
-    assert subjects.sentence_subjects(p[:0], row[:0], 2).tolist() == [[0, 0], [0, 0]]
-
-
 def test_latex_sections_returns_all_sections(spark, tmp_path):
     texts = ["\\begin{abstract}Short.\\end{abstract}\nBefore.\n\\section{One}\nFirst.\n\\subsection*{Two}\nSecond.\n\\section{Three} Third.", "\\subsection{Only}\nText.", "No markup: sections.", None]
     d = folder(tmp_path, documents=[{"doc_id": i, "paper_id": "p", "section": "s", "text": t} for i, t in enumerate(texts)])
@@ -103,20 +91,3 @@ def test_section_triage_decides_for_all_kinds(spark, tmp_path):
     got = {(r["paper_id"], r["kind"]): (r["n_matched"], r["decision"]) for r in queries.section_triage(spark, d).collect()}
     assert {k for _, k in got} == {"hyperparameter", "method", "result", "definition"} and len(got) == 8
     assert got["p", "hyperparameter"] == (1, "pattern") and got["p", "result"] == (1, "pattern_fallback") and got["p", "method"] == (0, "all_fallback") and got["q", "definition"][1] == "all"
-
-
-def test_names_of_long_entries_in_any_order(spark, monkeypatch):
-    entry = ("maximum", "number", "training", "update", "steps")
-    entries = spark.createDataFrame([(7, " ".join(entry), []), (8, "maximum number training update epochs", [])], "name_id int, canonical_name string, aliases array<string>")
-    typed = {"steps update training number maximum": 7, "update maximum epochs number training": 8, "trainng steps maximum updates number": 7, "stepsupdate training number maximum": 7, "stepsupdatetrainingnumbermaximum": 7, "steps update training number weights": 0}
-    got = namelist.match_names(spark.createDataFrame([(t,) for t in typed], "name string"), entries).collect()
-    assert {r["name"]: r["name_id"] for r in got} == typed
-    # The same costs as by listing all orders.
-    rng, pool, known = random.Random(3), ["step", "steps", "stop", "rate", "rat", "ratio", "layer", "later", "size"], frozenset(entry)
-    cases = [(rng.choices(pool, k=5), tuple(rng.choices(pool, k=5))) for _ in range(150)]
-    cases += [(rng.sample(e, 5), e) for _, e in cases[:40]] + [([a + b, *rest], e) for _, e in cases[:20] for a, b, *rest in [rng.sample(e, 5)]] + [(["".join(rng.sample(e, 5)).replace("s", "", 1)], e) for _, e in cases[:10]]
-    mine = [namelist.name_cost(w, e, known, False) for w, e in cases]
-    monkeypatch.setattr(namelist, "MOST_ORDERED", 5)
-    listed = [namelist.name_cost(w, e, known, False) for w, e in cases]
-    near = lambda xs: [x if x is None else round(x, 9) for x in xs]
-    assert near(mine) == near(listed) and sum(x is not None for x in mine) > 60
