@@ -63,8 +63,12 @@ def venue_in(comment: Column) -> Column:
     return F.nullif(F.trim(got), F.lit(""))
 
 
-# Sentences with these words propose an answer.
-SUGGESTING = r"(?i)\b(probably|likely|presumably|we (suggest|recommend)|i would (use|suggest|recommend)|you (should|could) use|recommend(ed)?|suggest(ed)?|defaults? to|assume|a reasonable (default|choice)|commonly)\b"
+# Phrases that propose an answer; letter case does not count.
+SUGGESTING_PHRASES = [
+    "probably", "likely", "presumably", "most likely", "we suggest", "we recommend", "i would use", "i would suggest", "i would recommend", "you should use", "you could use",
+    "recommend", "recommended", "suggest", "suggested", "default to", "defaults to", "assume", "a reasonable default", "a reasonable choice", "commonly",
+]
+SUGGESTING = r"(?i)\b(?:" + "|".join(SUGGESTING_PHRASES) + r")\b"
 
 
 def strip_suggestion(question: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from specweave.functions.ids import content_id, squeezed
 from specweave.functions.text import numbers_in, parse_json_reply
 from specweave.functions.values import as_number, close, condition_key, value_key
-from specweave.operators.rules import KNOWN_SETTINGS, range_rules, synonym_table
+from specweave.operators.rules import KNOWN_SETTINGS, range_rules, spelling_table
 
 CONFIDENT = 0.6
 WARNED = 0.8
@@ -27,10 +27,13 @@ def setting_name(name: Column) -> Column:
 
 
 def canonical_names(claims: DataFrame, name: str = "canonical_name") -> DataFrame:
-    """``name_key``: the plain name, or what it is a known spelling of."""
-    known = F.broadcast(synonym_table(claims.sparkSession).withColumnRenamed("name", "stands_for"))  # a fixed list
+    """``name_key``: the plain name, or what it is a known spelling of for claims of its type. Metrics are
+    looked up as they are written, other names in their plain form."""
+    known = F.broadcast(spelling_table(claims.sparkSession).withColumnRenamed("type", "_type"))  # a fixed list
     plain = claims.withColumn("plain_name", setting_name(F.col(name)))
-    return plain.join(known, plain["plain_name"] == known["spelling"], "left").withColumn("name_key", F.coalesce("stands_for", "plain_name")).drop("spelling", "stands_for", "plain_name")
+    looked_up = F.when(F.col("type") == "result", F.lower(F.trim(name))).otherwise(F.col("plain_name"))
+    named = plain.join(known, (F.col("type") == F.col("_type")) & (looked_up == F.col("spelling")), "left")
+    return named.withColumn("name_key", F.coalesce("stands_for", "plain_name")).drop("spelling", "stands_for", "plain_name", "_type")
 
 
 def typed(claims: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.operators.rules import POLICY
+from specweave.operators.rules import NEVER_AUTOMATIC, POLICY
 
 GAP, YEARS = 0.3, 3
 
@@ -61,7 +61,7 @@ SELECTORS: dict[str, Callable[[], Column]] = {
 def resolve(conflicts: DataFrame, rules: Sequence[tuple] = POLICY) -> DataFrame:
     """``rule_fired``, ``outcome``, ``selected_claim_id`` for conflicts with ``positions``.
 
-    A rule decides nothing that is BLOCKING, nothing without a selector, and no position that is not
+    A rule decides nothing that is BLOCKING, no conflict of methods or results, nothing without a selector, and no position that is not
     stated explicitly; where a rule wants a human's word the outcome is DEFERRED, the choice a
     suggestion. An unknown predicate or selector is an error at once."""
     for r in rules:
@@ -80,7 +80,7 @@ def resolve(conflicts: DataFrame, rules: Sequence[tuple] = POLICY) -> DataFrame:
     def decision(k: Column, choice: Column) -> Column:
         action = at([r[3] for r in rules], k)
         explicit = F.exists("positions", lambda p: (p["claim_id"] == choice) & p["stated_explicitly"])
-        escalate = (action == "ESCALATED") | (F.col("severity") == "BLOCKING") | choice.isNull() | ~F.coalesce(explicit, F.lit(False))
+        escalate = (action == "ESCALATED") | (F.col("severity") == "BLOCKING") | F.col("conflict_type").isin(NEVER_AUTOMATIC) | choice.isNull() | ~F.coalesce(explicit, F.lit(False))
         outcome = F.when(escalate, "ESCALATED").when(at([bool(r[5]) for r in rules], k), "DEFERRED").otherwise(action)
         return F.struct(at([r[0] for r in rules], k).alias("rule"), outcome.alias("outcome"), F.when(~escalate, choice).alias("choice"))
 
