@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from specweave.functions.ids import cluster_id
 from specweave.session import cut
 
 
+#: Single-paper keys of a type that a proposer of merges is shown.
+MOST_CANDIDATES = 60
+# Fields that name a claim, in the order they are tried.
+NAMING = ["canonical_name", "sub_problem", "term", "component_id", "name", "label", "metric"]
+
+
 def alignment_key(*fields: Column, fallback: Column) -> Column:
     """The first field that is not blank, in lower case; else the fallback."""
     return F.coalesce(*(F.nullif(F.lower(F.trim(f)), F.lit("")) for f in fields), fallback)
@@ -45,18 +53,20 @@ def single_paper_keys(claims: DataFrame) -> DataFrame:
 
 
 def safe_merge(left_unit: Column, right_unit: Column, left_type: Column, right_type: Column) -> Column:
-    """Keys may be merged unless both have a unit and they differ, or only one is numeric."""
+    """Keys may be merged unless both have a unit and they differ, or both have a type and only one is
+    numeric."""
     numeric = lambda t: t.isin("float", "int")
-    return ~F.coalesce(left_unit != right_unit, F.lit(False)) & (numeric(left_type) == numeric(right_type))
+    return F.coalesce(left_unit == right_unit, F.lit(True)) & F.coalesce(numeric(left_type) == numeric(right_type), F.lit(True))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
     """``(node, component)``: the smallest node that each node is connected with.
 
     Rounds of star contraction: every node is linked to the smallest in its neighbourhood, larger
     neighbours first, then smaller ones, until no link changes; the number of rounds grows with the
     logarithm of the component's size. Each round is two aggregations; a hub's links are aggregated
-    map-side before the shuffle. Self-links give components of one node; null ends are left out.
+    map-side before the shuffle. Self-links give components of one node; null ends are left out; that
+    the links have not settled after ``most_rounds`` is an error, never a partial result.
     """
     all_edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = all_edges.select("u").union(all_edges.select("v")).distinct()
@@ -75,6 +85,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     parents = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(parents, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
 
@@ -90,7 +102,82 @@ def split_clusters(members: DataFrame, labels: DataFrame) -> DataFrame:
     group = F.when(F.col("split"), F.coalesce("label", F.concat(F.lit("unassigned_"), "claim_id"))).otherwise(F.lit(""))
     grouped = joined.withColumn("label", group)
     heads = grouped.groupBy("cluster_id", "label").agg(F.min("claim_id").alias("head"))
-    order = heads.groupBy("cluster_id").agg(F.array_sort(F.collect_list("head")).alias("heads"))
-    numbered = grouped.join(heads, ["cluster_id", "label"]).join(order, "cluster_id")
-    child = F.when(F.size("heads") == 1, F.col("cluster_id")).otherwise(F.concat("cluster_id", F.lit("_"), F.array_position("heads", F.col("head")).cast("string")))
+    many = heads.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    # Numbers by a window over the heads, not by a list of them: a cluster may have any number.
+    order = F.row_number().over(W.partitionBy("cluster_id").orderBy("head"))
+    numbered = grouped.join(heads.withColumn("number", order), ["cluster_id", "label"]).join(many, "cluster_id")
+    child = F.when(F.col("n") == 1, F.col("cluster_id")).otherwise(F.concat("cluster_id", F.lit("_"), F.col("number").cast("string")))
     return numbered.select("cluster_id", child.alias("child_id"), "claim_id")
+
+
+def merge_identical(children: DataFrame, claims: DataFrame) -> DataFrame:
+    """Children of one cluster that hold one and the same value and unit are one again, under the first of
+    them; a child with a claim without value, or with several values, stays as it is."""
+    v = children.join(claims.select("claim_id", "value_key", F.coalesce(F.lower(F.trim("unit")), F.lit("")).alias("unit_key")), "claim_id")
+    key = F.struct("value_key", "unit_key")
+    one = v.groupBy("cluster_id", "child_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count_if(F.col("value_key").isNull()).alias("open"))
+    same = one.where("open = 0 and lo = hi")
+    first = same.groupBy("cluster_id", "lo").agg(F.min("child_id").alias("to"))
+    moved = same.join(first, ["cluster_id", "lo"]).select("cluster_id", "child_id", "to")
+    return children.join(moved, ["cluster_id", "child_id"], "left").select("cluster_id", F.coalesce("to", "child_id").alias("child_id"), "claim_id")
+
+
+def merge_candidates(claims: DataFrame, most: int | None = MOST_CANDIDATES) -> DataFrame:
+    """``(type, name_key, paper_id, claim_id, description)``: keys that only one paper uses, with what
+    is known of their role and nothing of their value, for a proposer to read. ``most`` a type, the
+    first by key: what a proposer can read at a time; None lists all."""
+    v = claims.where("status = 'verified'")
+    per = v.groupBy("type", "name_key").agg(F.min("paper_id").alias("paper_id"), F.max("paper_id").alias("last"), F.min(F.struct("claim_id", "unit", "applies_to", "section")).alias("first")).where("paper_id = last")
+    said = lambda c: F.when((F.trim(c) != "") & (F.trim(c) != "global"), F.trim(c))
+    parts = F.array(F.translate("name_key", "_", " "), said(F.col("first.unit")), said(F.col("first.applies_to")), F.concat(F.lit("(section: "), F.nullif(F.col("first.section"), F.lit("")), F.lit(")")))
+    text = F.array_join(F.array_distinct(F.filter(parts, lambda x: x.isNotNull())), " ")
+    out = per.select("type", "name_key", "paper_id", F.col("first.claim_id").alias("claim_id"), text.alias("description"))
+    if most is None:
+        return out
+    # The first of each type through its first keys alone: no type is sorted as a whole.
+    rank = F.row_number().over(W.partitionBy("type").orderBy("name_key", "paper_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
+def valid_merges(proposals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(type, proposal, name_key)``: what remains of proposed groups ``(type, proposal, name_key)``: keys
+    that are candidates, each for the first proposal that names it only; groups of two keys and two
+    papers at least. A group falls as a whole and then claims nothing; proposals of a type are few and
+    are judged in order by one fold."""
+    known = proposals.where("proposal is not null").join(candidates.select("type", "name_key", "paper_id"), ["type", "name_key"]).distinct()
+    listed = known.groupBy("type", "proposal").agg(F.array_sort(F.collect_set(F.struct("name_key", "paper_id"))).alias("members"))
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for r in pdf.sort_values("proposal").itertuples():
+            free = [m for m in r.members if m["name_key"] not in taken]
+            if len(free) >= 2 and len({m["paper_id"] for m in free}) >= 2:
+                taken |= {m["name_key"] for m in free}
+                out += [(r.type, r.proposal, m["name_key"]) for m in free]
+        return pd.DataFrame(out, columns=["type", "proposal", "name_key"])
+
+    return listed.groupBy("type").applyInPandas(judge, "type string, proposal int, name_key string")
+
+
+def merged_keys(claims: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(type, name_key, merged_key)``: keys of valid groups under the most frequent key of those that may
+    be merged with it (see :func:`safe_merge`), on a tie the alphabetically first."""
+    v = claims.where("status = 'verified'").join(merges, ["type", "name_key"])
+    per = v.groupBy("type", "proposal", "name_key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("unit", "value_type"), "claim_id").alias("first"))
+    lead = per.groupBy("type", "proposal").agg(F.min(F.struct((-F.col("n")).alias("k"), "name_key", "first")).alias("lead"))
+    joined = per.join(lead, ["type", "proposal"])
+    safe = safe_merge(F.col("lead.first.unit"), F.col("first.unit"), F.col("lead.first.value_type"), F.col("first.value_type"))
+    return joined.where(safe).select("type", "name_key", F.col("lead.name_key").alias("merged_key"))
+
+
+def cluster_members(claims: DataFrame) -> DataFrame:
+    """``(cluster_id, claim_id, paper_id, symbol)``: who is in a cluster, one row a claim; a key that a third
+    of all claims share makes no longer row than any other."""
+    v = claims.where("status = 'verified'")
+    return v.select(cluster_id(F.col("type"), F.col("name_key")).alias("cluster_id"), "claim_id", "paper_id", F.nullif(F.trim("paper_symbol"), F.lit("")).alias("symbol"))
+
+
+def aligned(claims: DataFrame, fallback: str = "claim_id") -> DataFrame:
+    """Claims with ``name_key``: the first of the fields that name them, else their id."""
+    fields = [F.col(c) for c in NAMING if c in claims.columns]
+    return claims.withColumn("name_key", alignment_key(*fields, fallback=F.col(fallback)))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from specweave.functions.ids import content_id, squeezed
+from specweave.functions.ids import content_id, quote_hash, squeezed
 from specweave.functions.text import numbers_in, parse_json_reply
 from specweave.functions.values import as_number, close, condition_key, value_key
-from specweave.operators.rules import KNOWN_SETTINGS, range_rules, spelling_table
+from specweave.operators.documents import find_spans, resolve_spans
+from specweave.operators.rules import FIDELITY_CONFIDENCE, KNOWN_SETTINGS, OTHER_CONFIDENCE, range_rules, spelling_table
 
 CONFIDENT = 0.6
 WARNED = 0.8
@@ -53,14 +54,23 @@ def read_candidates(candidates: DataFrame) -> DataFrame:
     return parsed.select(*[c for c in candidates.columns if c not in _FIELDS], "reply", *map(field, _FIELDS))
 
 
-def admit(candidates: DataFrame) -> DataFrame:
+def admit(candidates: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Candidates with ``reject_reason`` (null: admitted) and a content-derived ``claim_id``; of equal
-    claims the first record is kept, the others are marked ``duplicate``."""
+    claims the first record is kept, the others are marked ``duplicate``.
+
+    With ``texts`` (paper_id, doc_id, text) a quote must stand in its paper, white space aside; ``doc_id``
+    and ``at`` then say where it does first."""
     c = read_candidates(candidates)
+    missing = F.lit(False)
+    if texts is not None:
+        quotes = c.select("record_id", "paper_id", F.col("quote").alias("needle"))
+        c = c.join(find_spans(quotes, texts, "paper_id", "record_id", "doc_id"), "record_id", "left")
+        missing = F.col("doc_id").isNull()
     name = setting_name(F.col("canonical_name"))
     reason = (
         F.when(F.col("reply").isNull(), "unreadable reply")
         .when(F.coalesce(F.trim("quote"), F.lit("")) == "", "no supporting quote supplied")
+        .when(missing, "quote does not appear in the document")
         .when(F.coalesce(name, F.lit("")) == "", "schema violation: canonical_name")
         .when(~name.rlike(r"^[a-z][a-z0-9_]*$"), "schema violation: canonical_name")
         .when(F.col("value").isNull(), "schema violation: value")
@@ -110,6 +120,88 @@ def numeric_check(claims: DataFrame) -> DataFrame:
     return claims.withColumn("numeric_result", result)
 
 
+def trace(claims: DataFrame, texts: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """``trace_result`` and ``trace_reason`` of claims with ``span_id`` and ``quote_hash``, and the result of
+    each check: the span resolves in ``texts`` (see ``documents.addressed``), its text has the recorded
+    hash, the number claimed stands in it, and it entails the claim (``verdicts``: claim_id, entailed; a
+    claim without one fails; no table: not checked). The first failure decides and those behind it are
+    n/a; else any warning is one, with all reasons."""
+    c = resolve_spans(claims, texts)
+    entailed = F.lit(None).cast("boolean")
+    if verdicts is not None:
+        c = c.join(verdicts.groupBy("claim_id").agg(F.min("entailed").alias("_entailed")), "claim_id", "left")
+        entailed = F.coalesce("_entailed", F.lit(False))
+    resolved, v = F.col("span_text").isNotNull(), F.col("value_num")
+    same = quote_hash(F.col("span_text")) == F.col("quote_hash")
+    numeric = F.when(v.isNull() | (F.col("value_type") == "bool"), "n/a").when(F.exists(numbers_in(F.col("span_text")), lambda n: close(n, v)), "pass").otherwise("warn")
+    c = c.withColumn("span_result", F.when(resolved, "pass").otherwise("fail")).withColumn("hash_result", F.when(~resolved, "n/a").when(F.coalesce(same, F.lit(False)), "pass").otherwise("fail"))
+    whole = F.col("hash_result") == "pass"
+    c = c.withColumn("numeric_result", F.when(whole, numeric).otherwise("n/a")).withColumn("entailment_result", F.when(~whole | entailed.isNull(), "n/a").when(entailed, "pass").otherwise("fail"))
+    failed = F.when(F.col("span_result") == "fail", "span does not resolve").when(F.col("hash_result") == "fail", "text at span differs from recorded hash").when(F.col("entailment_result") == "fail", "not entailed")
+    warned = F.when(F.col("numeric_result") == "warn", "number not in span")
+    result = F.when(failed.isNotNull(), "fail").when(warned.isNotNull(), "warn").otherwise("pass")
+    return c.withColumns({"trace_result": result, "trace_reason": F.coalesce(failed, warned)}).drop("_entailed")
+
+
+def symbol_check(formulas: DataFrame) -> DataFrame:
+    """``symbol_check`` of formulas with ``symbols`` and ``undefined``, arrays of names."""
+    return formulas.withColumn("symbol_check", symbol_result(F.col("symbols"), F.col("undefined")))
+
+
+def valid_claims(claims: DataFrame) -> DataFrame:
+    """``(claim_id, path, error)``: what is wrong with claims by their schema, in order of the path; none
+    for a valid one. The schema is a set of conditions, so any number of them is one pass."""
+    kind = F.col("type")
+    checks = [
+        ("applies_to", kind.isin("hyperparameter", "method") & F.col("applies_to").isNull(), "required"),
+        ("canonical_name", F.col("canonical_name").isNull(), "required"),
+        ("canonical_name", (kind == "hyperparameter") & ~F.coalesce(F.col("canonical_name").rlike(r"^[a-z][a-z0-9_]*$"), F.lit(True)), "pattern"),
+        ("confidence", ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "range"),
+        ("stated_explicitly", F.col("stated_explicitly").isNull(), "required"),
+        ("status", ~F.coalesce(F.col("status").isin("extracted", "verified", "rejected", "superseded"), F.lit(False)), "enum"),
+        ("value", F.col("value").isNull(), "required"),
+        ("value", (kind == "result") & F.col("value").isNotNull() & F.col("value_num").isNull(), "number"),
+        ("value_type", (kind == "hyperparameter") & ~F.coalesce(F.col("value_type").isin("float", "int", "bool", "categorical"), F.lit(False)), "enum"),
+    ]
+    found = F.filter(F.array(*(F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(error).alias("error"))) for path, bad, error in checks)), lambda x: x.isNotNull())
+    return claims.select("claim_id", F.inline(found))
+
+
+def typed_values(claims: DataFrame) -> DataFrame:
+    """``value_type`` as the value has it: numbers written as text are numbers, a fraction is no int, and
+    what declares no known type gets the one it looks like."""
+    v = F.trim("value")
+    number = F.replace(F.replace(v, F.lit(","), F.lit("")), F.lit("−"), F.lit("-"))
+    is_number, is_bool = number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.lower(v).isin("true", "false")
+    whole = number.rlike(r"^[+-]?[0-9]+$")
+    looks = F.when(is_bool, "bool").when(whole, "int").when(is_number, "float").otherwise("categorical")
+    declared = F.col("value_type")
+    known = declared.isin("float", "int", "bool", "categorical")
+    kind = F.when(~F.coalesce(known, F.lit(False)) | is_bool, looks).when((declared == "int") & is_number & ~whole, "float").otherwise(declared)
+    recovered = F.when(declared.isin("float", "int") & is_number, number).otherwise(v)
+    return claims.withColumns({"value_type": kind, "value": recovered})
+
+
+def confidence_of(fidelity: Column) -> Column:
+    """How far a text is trusted by how its formulas were read."""
+    rate = F.lit(OTHER_CONFIDENCE)
+    for how, value in FIDELITY_CONFIDENCE.items():
+        rate = F.when(fidelity == how, value).otherwise(rate)
+    return rate
+
+
+def cited(claims: DataFrame, references: DataFrame) -> DataFrame:
+    """``(claim_id, ref_key, arxiv_id)``: the first citation in a claim's quote that is a key of its paper's
+    references, or looks like one; claims that cite nothing have no row."""
+    keys = F.regexp_extract_all("quote", F.lit(r"\[([A-Za-z][A-Za-z0-9_:.-]{2,})\]"), 1)
+    each = claims.select("claim_id", "paper_id", F.posexplode(keys).alias("at", "ref_key"))
+    refs = references.groupBy("paper_id", "ref_key").agg(F.min("arxiv_id").alias("arxiv_id"), F.lit(True).alias("known"))
+    met = each.join(refs, ["paper_id", "ref_key"], "left")
+    looks = F.col("ref_key").rlike(r"\d") & ~F.col("ref_key").rlike(r"^[A-Z0-9_:.-]+$")
+    first = met.where(F.col("known") | looks).groupBy("claim_id").agg(F.min_by(F.struct("ref_key", "arxiv_id"), "at").alias("c"))
+    return first.select("claim_id", "c.ref_key", "c.arxiv_id")
+
+
 def symbol_result(symbols: Column, undefined: Column) -> Column:
     """Formulas must define what they use: fail without symbols or with undefined ones."""
     return F.when(F.coalesce(F.size(symbols), F.lit(0)) <= 0, "fail").when(F.coalesce(F.size(undefined), F.lit(0)) <= 0, "pass").otherwise("fail")

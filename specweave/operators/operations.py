@@ -21,6 +21,21 @@ def quota_headroom(ledger: DataFrame, limits: DataFrame) -> DataFrame:
     return used.join(limits, "provider", "left").select("provider", "day", "requests", F.when(ceiling.isNotNull(), F.greatest(ceiling - F.col("requests"), F.lit(0))).cast("bigint").alias("headroom"), (F.col("requests") >= ceiling).alias("exhausted"))
 
 
+def blocked_until(ledger: DataFrame) -> DataFrame:
+    """``(provider, until)``: until when a provider is out after refusals: the latest of what it asked for
+    (``retry_after`` seconds), else the end of the UTC day."""
+    midnight = F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 1 DAY")
+    asked = F.timestamp_seconds(F.unix_seconds("ts") + F.col("retry_after"))
+    return ledger.where("refused").groupBy("provider").agg(F.max(F.coalesce(asked, midnight)).alias("until"))
+
+
+def lost_batches(runs: DataFrame) -> DataFrame:
+    """``(paper_id, kind, coverage, batches_lost)`` by paper and kind of fact, of runs with what was read, of
+    how much, and how many batches went well."""
+    share = F.round(F.sum("read_chars") / F.nullif(F.sum("all_chars"), F.lit(0)), 3)
+    return runs.groupBy("paper_id", "kind").agg(share.alias("coverage"), (F.sum("batches") - F.sum("batches_ok")).alias("batches_lost"))
+
+
 def first_eligible(requests: DataFrame, legs: DataFrame, exhausted: DataFrame) -> DataFrame:
     """For each request the first provider of its route that is not exhausted on its day."""
     free = requests.join(legs, "route").join(exhausted.where("exhausted").select("provider", "day"), ["provider", "day"], "left_anti")

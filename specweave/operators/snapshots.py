@@ -11,6 +11,8 @@ third of all rows is spread over its ranges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,3 +105,26 @@ def snapshot_changes(values: DataFrame, conflicts: DataFrame, gaps: DataFrame, l
     closed = F.when(F.col("kind") == "value", "value_removed").otherwise(F.concat("kind", F.lit("_closed")))
     what = F.when(F.col("before").isNull(), opened).when(F.col("now").isNull(), closed).otherwise("value_changed")
     return items.where("not (now <=> before)").select("spec_id", F.col("step").alias("snapshot_no"), what.alias("change_kind"), "item")
+
+
+def resolution_changes(values: DataFrame) -> DataFrame:
+    """``(spec_id, snapshot_no, change_kind, item)``: decisions that a spec's values rest on (``resolved_from``)
+    and did not in its previous snapshot (``resolution_added``), or no longer do (``resolution_withdrawn``)."""
+    held = values.select("spec_id", "snapshot_no", F.col("resolved_from").alias("item")).where("spec_id is not null and item <> ''").distinct()
+    steps = consecutive(values.where("spec_id is not null and snapshot_no is not null"))
+    now = steps.join(held, ["spec_id", "snapshot_no"]).select("spec_id", F.col("snapshot_no").alias("step"), "item", F.lit(1).alias("now"), F.lit(0).alias("before"))
+    prev = held.withColumnRenamed("snapshot_no", "prev_no")
+    old = steps.join(prev, ["spec_id", "prev_no"]).select("spec_id", F.col("snapshot_no").alias("step"), "item", F.lit(0).alias("now"), F.lit(1).alias("before"))
+    both = now.unionAll(old).groupBy("spec_id", "step", "item").agg(F.max("now").alias("now"), F.max("before").alias("before")).where("now <> before")
+    return both.select("spec_id", F.col("step").alias("snapshot_no"), F.when(F.col("now") == 1, "resolution_added").otherwise("resolution_withdrawn").alias("change_kind"), "item")
+
+
+#: Changes that undo what was built on the snapshot before.
+BREAKING = ["value_changed", "value_removed", "resolution_withdrawn", "paper_removed"]
+
+
+def change_summary(*changes: DataFrame) -> DataFrame:
+    """``(spec_id, snapshot_no, n_changes, n_breaking)`` of the snapshots that changed; one without a row is
+    identical with the one before it."""
+    every = reduce(DataFrame.unionByName, changes)
+    return every.groupBy("spec_id", "snapshot_no").agg(F.count(F.lit(1)).alias("n_changes"), F.count_if(F.col("change_kind").isin(BREAKING)).alias("n_breaking"))

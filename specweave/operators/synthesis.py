@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.ids import component_id, slugify
+from specweave.functions.ids import component_id, content_id, slugify
 from specweave.operators.rules import KNOWN_SETTINGS
 from specweave.session import cut
 
@@ -42,21 +42,90 @@ def superseded(claims: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def merge_agreeing(claims: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Verified claims that agree, as one value with all their claims as references."""
+    """Verified claims that agree, as one value with the number of its claims and papers; ``value_id``
+    leads to the claims by :func:`value_links`. Counted by paper first, so a value that a third of all
+    claims give arrives as a row a paper."""
     group = group or ["type", "name_key", "cond", "value_key"]
-    v = claims.where("status = 'verified'")
-    return v.groupBy(*group).agg(F.min("claim_id").alias("exemplar"), F.array_join(F.array_sort(F.collect_set("claim_id")), ",").alias("provenance_refs"), F.count_distinct("claim_id").alias("n_refs"), F.count_distinct("paper_id").alias("n_papers"))
+    v = claims.where("status = 'verified'").select(*group, "claim_id", "paper_id")
+    per = v.groupBy(*group, "paper_id").agg(F.min("claim_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    out = per.groupBy(*group).agg(F.min("first").alias("exemplar"), F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_papers"))
+    return out.withColumn("value_id", value_id(group))
 
 
-def components(claims: DataFrame, disputed: DataFrame, lost: DataFrame) -> DataFrame:
-    """Values of the specification by component: undisputed verified settings; known ones by what
-    they apply to, others by paper and section, under the condition that they are reported there."""
+def value_id(group: list[str]) -> Column:
+    return content_id("val", *(F.col(c) for c in group))
+
+
+def value_links(claims: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """``(value_id, claim_id)``: the claims behind each value, one row a claim, in no list of any length."""
+    group = group or ["type", "name_key", "cond", "value_key"]
+    return claims.where("status = 'verified'").select(value_id(group).alias("value_id"), "claim_id")
+
+
+def _component_values(claims: DataFrame, disputed: DataFrame, lost: DataFrame) -> DataFrame:
     usable = claims.where("status = 'verified' and type = 'hyperparameter'").join(disputed, _SCOPE, "left_anti").join(lost, "claim_id", "left_anti")
     known = F.col("name_key").isin(KNOWN_SETTINGS)
     where = F.when(known, component_id(F.coalesce("applies_to", F.lit("global")))).otherwise(F.concat(F.lit("cmp_"), slugify(F.col("scope_id"))))
     cond = F.when(known | (F.col("cond") != ""), F.col("cond")).otherwise(F.concat(F.lit("reported in section '"), F.coalesce("section", F.lit("")), F.lit("'")))
-    named = usable.withColumns({"component_id": where, "cond": cond})
-    return merge_agreeing(named, ["component_id", "name_key", "cond", "value_key"])
+    return usable.withColumns({"component_id": where, "cond": cond})
+
+
+COMPONENT_GROUP = ["component_id", "name_key", "cond", "value_key"]
+
+
+def components(claims: DataFrame, disputed: DataFrame, lost: DataFrame) -> DataFrame:
+    """Values of the specification by component: undisputed verified settings; known ones by what
+    they apply to, others by paper and section, under the condition that they are reported there."""
+    return merge_agreeing(_component_values(claims, disputed, lost), COMPONENT_GROUP)
+
+
+def component_links(claims: DataFrame, disputed: DataFrame, lost: DataFrame) -> DataFrame:
+    """``(value_id, claim_id)`` of :func:`components`."""
+    return value_links(_component_values(claims, disputed, lost), COMPONENT_GROUP)
+
+
+def design_decisions(claims: DataFrame) -> DataFrame:
+    """Verified own claims on methods by the component that they apply to, disputed ones among them: one
+    row a decision, of a component that may have no values."""
+    own = F.coalesce(F.lower(F.trim("attribution")), F.lit("own")) != "prior_work" if "attribution" in claims.columns else F.lit(True)
+    adopted = F.coalesce("adopted", F.lit(True)) if "adopted" in claims.columns else F.lit(True)
+    m = claims.where((F.col("status") == "verified") & (F.col("type") == "method") & own)
+    target = F.coalesce(F.nullif(F.trim("applies_to"), F.lit("")), F.lit("global"))
+    return m.select(component_id(target).alias("component_id"), F.col("name_key").alias("sub_problem"), F.trim("value").alias("approach"), adopted.alias("adopted"), "claim_id")
+
+
+def component_kinds(values: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``(component_id, n_values, n_decisions)``: all components, those with values or decisions alone too."""
+    v = values.groupBy("component_id").agg(F.count(F.lit(1)).alias("n_values"))
+    d = decisions.groupBy("component_id").agg(F.count(F.lit(1)).alias("n_decisions"))
+    none = F.lit(0).cast("bigint")
+    return v.join(d, "component_id", "full_outer").select("component_id", F.coalesce("n_values", none).alias("n_values"), F.coalesce("n_decisions", none).alias("n_decisions"))
+
+
+def contribution(papers: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(paper_id, contributed)``: verified claims of each paper, 0 for one without."""
+    n = claims.where("status = 'verified'").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    return papers.select("paper_id").distinct().join(n, "paper_id", "left").select("paper_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("contributed"))
+
+
+def contributing_papers(papers: DataFrame, claims: DataFrame) -> DataFrame:
+    """Papers with a verified claim at least."""
+    return papers.join(claims.where("status = 'verified'").select("paper_id"), "paper_id", "left_semi")
+
+
+def verification_summary(report: DataFrame) -> DataFrame:
+    """One row: totals over the papers' verification reports."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return report.agg(*(n(c) for c in ("total", "n_verified", "n_rejected", "low_confidence", "warned", "by_trace", "by_range")))
+
+
+def split_conflicts(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Conflicts with ``state``: ``open`` for the MATERIAL ones without a final decision, ``blocking`` for
+    the BLOCKING ones, ``resolved`` for those decided; open COSMETIC ones are in no list."""
+    r = resolutions.groupBy("contradiction_id").agg(F.max(~F.col("outcome").isin("ESCALATED", "DEFERRED")).alias("final"))
+    done = F.coalesce("final", F.lit(False))
+    state = F.when(done, "resolved").when(F.col("severity") == "BLOCKING", "blocking").when(F.col("severity") == "MATERIAL", "open")
+    return conflicts.join(r, "contradiction_id", "left").withColumn("state", state).drop("final").where("state is not null")
 
 
 def expected_results(claims: DataFrame, disputed: DataFrame | None = None, lost: DataFrame | None = None) -> DataFrame:
@@ -77,21 +146,21 @@ def assumptions(claims: DataFrame) -> DataFrame:
     return claims.where("status = 'verified' and not stated_explicitly").select("claim_id", "paper_id", "type", "name_key", "value_key")
 
 
-def provenance_closure(values: DataFrame, claims: DataFrame, refs: str = "provenance_refs") -> DataFrame:
-    """One row: how many references there are, and how many lead to a verified claim."""
-    r = values.select(F.explode(F.split(refs, ",")).alias("claim_id"))
-    status = claims.select("claim_id", "status").groupBy("claim_id").agg(F.min("status").alias("status"))
-    j = r.join(status, "claim_id", "left")
-    closed = F.count_if(F.col("status") == "verified")
-    total = F.count(F.lit(1))
-    return j.agg(total.alias("total"), closed.alias("closed"), F.count_if(F.col("status").isNull()).alias("missing"), F.when(total == 0, 1.0).otherwise(F.round(closed / total, 4)).alias("completeness"))
+def provenance_closure(links: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row: how many references (``value_id, claim_id``) there are, how many lead to a verified claim, to
+    one of another status, and nowhere."""
+    status = claims.select("claim_id", "status").groupBy("claim_id").agg(F.max("status").alias("status"))
+    j = links.select("claim_id").join(status, "claim_id", "left")
+    closed, total = F.count_if(F.col("status") == "verified"), F.count(F.lit(1))
+    return j.agg(total.alias("total"), closed.alias("closed"), F.count_if(F.col("status") != "verified").alias("unverified"), F.count_if(F.col("status").isNull()).alias("missing"), F.when(total == 0, 1.0).otherwise(F.round(closed / total, 4)).alias("completeness"))
 
 
 def cycle_members(edges: DataFrame, source: str = "source", target: str = "target", most_rounds: int = 10_000) -> DataFrame:
     """``node``: nodes on a cycle or on a way from one cycle to another; empty for a graph without.
 
     Nodes that nothing leads to, or that lead nowhere, are peeled off layer by layer; what cannot be
-    peeled holds every cycle. Links to nodes without links of their own are peeled first."""
+    peeled holds every cycle. That ``most_rounds`` layers are not enough is an error, never a partial
+    result."""
     links = cut(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct(), "dag")
     n = links.count()
     for _ in range(most_rounds):
@@ -103,9 +172,37 @@ def cycle_members(edges: DataFrame, source: str = "source", target: str = "targe
         if left == n:
             break
         n = left
+    else:
+        raise RuntimeError(f"links left to peel after {most_rounds} layers")
     return links.select(F.col("s").alias("node")).union(links.select("t")).distinct()
 
 
+def cycle_path(edges: DataFrame, source: str = "source", target: str = "target") -> list:
+    """The nodes of one cycle, from its first one by order on; empty if there is none. Each core node is
+    followed by the smallest that it leads to within the core, so a walk along these ends in a cycle;
+    only the links of the core are looked up, one a step."""
+    core = cycle_members(edges, source, target)
+    e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).join(core.withColumnRenamed("node", "s"), "s", "left_semi").join(core.withColumnRenamed("node", "t"), "t", "left_semi")
+    follow = cut(e.groupBy("s").agg(F.min("t").alias("t")), "follow")
+    at, seen = follow.agg(F.min("s")).first()[0], []
+    while at is not None and at not in seen:
+        seen.append(at)
+        step = follow.where(F.col("s") == F.lit(at)).first()
+        at = step["t"] if step else None
+    ring = seen[seen.index(at) :] if at is not None else []
+    k = ring.index(min(ring)) if ring else 0
+    return ring[k:] + ring[:k]
+
+
+GATES = ["blocking", "provenance", "cycle", "schema"]
+
+
+def first_problem(blocking: DataFrame, closure: DataFrame, cycles: DataFrame, errors: DataFrame) -> str | None:
+    """The first gate, in order, that a specification does not pass; None if it passes all."""
+    failed = {"blocking": lambda: not blocking.isEmpty(), "provenance": lambda: not closure.where("closed < total").isEmpty(), "cycle": lambda: not cycles.isEmpty(), "schema": lambda: not errors.isEmpty()}
+    return next((g for g in GATES if failed[g]()), None)
+
+
 def blocking(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Blocking conflicts without a final decision: while there is one, there is no final spec."""
     final = resolutions.where("outcome not in ('ESCALATED', 'DEFERRED')").select("contradiction_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LEDGER = "ts timestamp, stage string, provider string, input_tokens bigint, output_tokens bigint, cost double, cached boolean, error string"
 
 
 class RunStore:
@@ -51,6 +54,29 @@ class RunStore:
     def manifest(self, **facts) -> None:
         self.spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
 
-
-def local_tables(path: str) -> list[str]:
-    return sorted(p.name.removesuffix(".parquet") for p in Path(path).glob("*.parquet"))
+    def facts(self) -> dict:
+        """What the manifest says; nothing where there is none."""
+        p, fs = self._fs("manifest", "_SUCCESS")
+        return json.loads(self.spark.read.text(f"{self.path}/manifest").first()[0]) if fs.exists(p) else {}
+
+    def log(self, calls: DataFrame) -> None:
+        """Further calls, appended to the run's ledger as JSON lines."""
+        calls.write.mode("append").json(f"{self.path}/ledger")
+
+    def ledger(self) -> DataFrame:
+        """The run's ledger; lines that cannot be read are left out, a run without one has no calls."""
+        p, fs = self._fs("ledger")
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], LEDGER)
+        lines = self.spark.read.schema(f"{LEDGER}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{self.path}/ledger")
+        return lines.where("_bad is null").drop("_bad")
+
+
+def fingerprint(settings: dict, papers: DataFrame | None = None) -> str:
+    """A hash of all that can change a run's results: settings, whatever their order, and the papers' own
+    hashes, added up on the executors whatever their order."""
+    said = json.dumps(settings, sort_keys=True, default=str)
+    if papers is not None:
+        own = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "paper_id", F.coalesce("sha256", F.lit(""))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+        said += str(tuple(papers.select("paper_id", "sha256").distinct().agg(F.count(F.lit(1)), F.sum(own)).first()))
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
