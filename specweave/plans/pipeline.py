@@ -22,10 +22,12 @@ def run(spark: SparkSession, sf_dir: str, out: str, resume: bool = True, texts:
     fingerprint (settings, papers) is that of the tables. With ``texts`` (see ``documents.addressed``)
     every claim's span and quote are traced anew; without, the recorded trace is taken."""
     store = RunStore(spark, out)
-    papers = table(spark, sf_dir, "papers", "paper_id", "title", "venue", "year", "sha256")
+    papers = table(spark, sf_dir, "papers")
+    if "sha256" not in papers.columns:
+        papers = papers.withColumn("sha256", F.lit(None).cast("string"))
     made_by = fingerprint(SETTINGS | {"data": sf_dir, "traced": texts is not None}, papers)
     resume = resume and store.facts().get("fingerprint") in (None, made_by)
-    papers = papers.drop("sha256")
+    papers = papers.select("paper_id", "title", "venue", "year")
     s: dict[str, DataFrame] = {}
     s["claims"] = store.stage("01_claims", lambda: claim_view(spark, sf_dir), resume)
     traced = s["claims"] if texts is None else claims.trace(s["claims"], texts).drop("span_text", "span_result", "hash_result", "entailment_result", "trace_reason", "numeric_result")

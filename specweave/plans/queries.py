@@ -23,7 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def claim_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims as the operators take them: once each, typed, with plain names and flat provenance."""
     c = claims.once(table(spark, sf_dir, "claims"))
-    flat = c.select("claim_id", "paper_id", "type", "status", "canonical_name", "paper_symbol", "value", "value_type", "unit", "applies_to", "condition", "stated_explicitly", "quote", "confidence", F.col("provenance.span_id").alias("span_id"), F.col("provenance.scope_id").alias("scope_id"), F.col("provenance.section").alias("section"), F.col("provenance.char_end").alias("char_end"), F.col("provenance.quote_hash").alias("quote_hash"), F.col("verification.citation_trace").alias("trace_result"), F.col("verification.symbol_check").alias("symbol_result"))
+    own = c.schema["provenance"].dataType.names
+    part = lambda name, kind: (F.col(f"provenance.{name}") if name in own else F.lit(None).cast(kind)).alias(name)
+    flat = c.select("claim_id", "paper_id", "type", "status", "canonical_name", "paper_symbol", "value", "value_type", "unit", "applies_to", "condition", "stated_explicitly", "quote", "confidence", F.col("provenance.span_id").alias("span_id"), F.col("provenance.scope_id").alias("scope_id"), F.col("provenance.section").alias("section"), part("char_end", "int"), part("quote_hash", "string"), F.col("verification.citation_trace").alias("trace_result"), F.col("verification.symbol_check").alias("symbol_result"))
     return claims.typed(claims.canonical_names(flat))
 
 

@@ -68,8 +68,8 @@ class RunStore:
         p, fs = self._fs("ledger")
         if not fs.exists(p):
             return self.spark.createDataFrame([], LEDGER)
-        lines = self.spark.read.schema(f"{LEDGER}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{self.path}/ledger")
-        return lines.where("_bad is null").drop("_bad")
+        lines = self.spark.read.text(f"{self.path}/ledger").where(F.try_parse_json("value").isNotNull())
+        return lines.select(F.from_json("value", LEDGER).alias("r")).where("r is not null").select("r.*")
 
 
 def fingerprint(settings: dict, papers: DataFrame | None = None) -> str:

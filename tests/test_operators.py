@@ -247,6 +247,108 @@ def test_method_and_definition_conflicts(spark):
     assert conflicts.definition_conflicts(df).collect() == []
 
 
+def test_methods_by_stance(spark):
+    m = lambda i, p, v, adopted=True, own="own", cond=None: (f"m{i}", p, "method", "optimizer_choice", v, "categorical", cond, None, True, adopted, own, "it is slow" if not adopted else None)
+    schema = "claim_id string, paper_id string, type string, canonical_name string, value string, value_type string, condition string, unit string, stated_explicitly boolean, adopted boolean, attribution string, rationale string"
+
+    def found(*data):
+        df = spark.createDataFrame(list(data), schema).withColumns({"status": F.lit("verified"), "applies_to": F.lit("global"), "section": F.lit("S")})
+        return [(r["severity"], [p["position"] for p in r["positions"]]) for r in conflicts.method_conflicts(claims.typed(claims.canonical_names(df))).collect()]
+
+    assert found(m(1, "a", "NSP"), m(2, "b", "next sentence prediction (NSP)", adopted=False)) == [("BLOCKING", ["NSP", "removes next sentence prediction (NSP) - it is slow"])]
+    assert found(m(1, "a", "NSP"), m(2, "b", "NSP"), m(3, "b", "sentence order", adopted=False)) == []  # an alternative declined
+    assert found(m(1, "a", "Adam"), m(2, "b", "SGD")) == [("MATERIAL", ["Adam", "SGD"])]
+    assert found(m(1, "a", "Adam"), m(2, "b", "SGD", own="prior_work")) == [] and found(m(1, "a", "Adam"), m(2, "b", "SGD", cond="large")) == []
+
+
+def test_results_by_scope_and_spread(spark):
+    schema = "claim_id string, paper_id string, value string, dataset string, split string, conditions map<string,string>, reported_variance double"
+
+    def found(*data):
+        df = spark.createDataFrame(list(data), schema).withColumns({"type": F.lit("result"), "canonical_name": F.lit("BLEU score"), "value_type": F.lit("float"), "condition": F.lit(None).cast("string"), "unit": F.lit(None).cast("string"), "stated_explicitly": F.lit(True), "status": F.lit("verified"), "applies_to": F.lit("global"), "section": F.lit("S")})
+        return [(r["name_key"], r["severity"], [p["position"] for p in r["positions"]]) for r in conflicts.result_conflicts(claims.typed(claims.canonical_names(df))).collect()]
+
+    row = lambda i, p, v, var=None, ds="wmt", split="test", **cond: (f"r{i}", p, v, ds, split, cond or None, var)
+    assert found(row(1, "a", "27.3", 0.5), row(2, "b", "27.6", 0.4)) == []  # within each other's spread
+    assert found(row(1, "a", "27.3", 0.1), row(2, "b", "27.6", 0.4)) == [("bleu", "MATERIAL", ["27.3 +/- 0.1", "27.6 +/- 0.4"])]
+    assert found(row(1, "a", "27.3"), row(2, "b", "27.6", 0.4)) == [("bleu", "MATERIAL", ["27.3", "27.6 +/- 0.4"])]
+    assert found(row(1, "a", "27"), row(2, "b", "28", split="dev")) == [] and found(row(1, "a", "27"), row(2, "b", "28", ds="WMT ")) != []
+    assert found(row(1, "a", "27", beam="4"), row(2, "b", "28", beam="5")) == [] and found(row(1, "a", "27", beam="4", lp="1"), row(2, "b", "28", lp="1", beam="4")) != []
+
+
+def test_definitions_by_criterion(spark):
+    schema = "claim_id string, paper_id string, value string, criterion string"
+
+    def found(*data):
+        df = spark.createDataFrame(list(data), schema).withColumns({"type": F.lit("definition"), "canonical_name": F.lit("failure"), "value_type": F.lit("categorical"), "condition": F.lit(None).cast("string"), "unit": F.lit(None).cast("string"), "stated_explicitly": F.lit(True), "status": F.lit("verified"), "applies_to": F.lit("global"), "section": F.lit("S")})
+        return [(r["name_key"], r["severity"], [p["position"] for p in r["positions"]]) for r in conflicts.definition_conflicts(claims.typed(claims.canonical_names(df))).collect()]
+
+    assert found(("d1", "a", "it fails", "exit code is 1"), ("d2", "b", "it fails", "no answer in ten minutes")) == [("task_failure", "BLOCKING", ["exit code is 1", "no answer in ten minutes"])]
+    assert found(("d1", "a", "it fails", None), ("d2", "b", "the user gives up", " ")) == [("task_failure", "MATERIAL", ["it fails", "the user gives up"])]
+    assert found(("d1", "a", "x y", None), ("d2", "a", "other words", None), ("d3", "b", "x y", None)) == []  # the representatives are of one paper
+
+
+def test_similar_texts_lose_no_pair(spark):
+    rng = random.Random(12)
+    words = ["sinusoidal", "learned", "positional", "encoding", "encodings", "wordpiece", "wordpieces", "piece", "mask", "masked", "token", "tokens", "a", "the", "80%", "random", "linear", "cosine", "decay"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(160)} | {"", "  "})
+    df = spark.createDataFrame([("s", t) for t in texts], "g string, t string")
+    for least in (90.0, 88.0):
+        got = {(r["l"], r["r"]) for r in conflicts.similar_texts(df, ["g"], "t", F.array("t"), least).collect()}
+        want = {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if fuzz.token_set_ratio(a, b) >= least}
+        assert got == want and len(want) > 50
+
+
+def test_trace(spark):
+    docs = spark.createDataFrame([(1, "p", "s", "Short.\n\nThe dropout rate is set to 0.1 for all.\n\nWe use 4,096 units in the hidden layer."), (2, "q", "s", "Nothing to see here at all, 0.1.")], "doc_id bigint, paper_id string, section string, text string")
+    texts = documents.addressed(docs)
+    hash_of = lambda t: "sha256:" + __import__("hashlib").sha256(" ".join(t.split()).encode()).hexdigest()
+    a, b = "The dropout rate is set to 0.1 for all.", "We use 4,096 units in the hidden layer."
+    data = [("ok", "p", "p#s0.p0.0", None, hash_of(a), "0.1"), ("part", "p", "p#s0.p1.3", 12, hash_of(b[3:12]), "4096"), ("warn", "p", "p#s0.p0.0", None, hash_of(a), "0.3"), ("word", "p", "p#s0.p0.4", 999, hash_of(a[4:]), "x"), ("hash", "p", "p#s0.p0.0", None, hash_of(b), "0.1"), ("far", "p", "p#s0.p0.500", None, hash_of(a), "0.1"), ("gone", "p", "p#s0.p7.0", None, hash_of(a), "0.1"), ("foreign", "p", "q#s0.p0.0", None, hash_of(a), "0.1"), ("odd", "p", "p, page 3", None, hash_of(a), "0.1"), ("null", "p", None, None, None, None), ("no", "p", "p#s0.p0.0", None, hash_of(a), "0.1")]
+    c = claims.typed(spark.createDataFrame(data, "claim_id string, paper_id string, span_id string, char_end int, quote_hash string, value string").withColumns({"condition": F.lit(None).cast("string"), "value_type": F.lit("float")}))
+    verdicts = spark.createDataFrame([(r[0], r[0] != "no") for r in data if r[0] != "word"], "claim_id string, entailed boolean")
+    got = {r["claim_id"]: (r["trace_result"], r["trace_reason"]) for r in claims.trace(c, texts, verdicts).collect()}
+    gone, differs, untrue = ("fail", "span does not resolve"), ("fail", "text at span differs from recorded hash"), ("fail", "not entailed")
+    assert got == {"ok": ("pass", None), "part": ("pass", None), "warn": ("warn", "number not in span"), "word": untrue, "hash": differs, "far": gone, "gone": gone, "foreign": gone, "odd": gone, "null": gone, "no": untrue}
+    assert {r["claim_id"]: r["trace_result"] for r in claims.trace(c, texts).collect()}["word"] == "pass"
+    assert claims.trace(c, texts.limit(0)).where("trace_result <> 'fail'").isEmpty() and claims.trace(c.limit(0), texts).isEmpty()
+
+
+def test_anchored_admission(spark):
+    p = '{"canonical_name": "lr", "value": 1, "quote": "%s"}'
+    cand = spark.createDataFrame([(1, "a", "s", p % "it is  set"), (2, "a", "s", p % "not there"), (3, "b", "s", p % "it is set"), (4, "a", "s", p % "")], "record_id bigint, paper_id string, scope_id string, payload string")
+    docs = spark.createDataFrame([(9, "a", "Here it\nis set."), (7, "b", None)], "doc_id bigint, paper_id string, text string")
+    got = {r["record_id"]: (r["reject_reason"], r["doc_id"], r["at"]) for r in claims.admit(cand, docs).collect()}
+    assert got == {1: (None, 9, 5), 2: ("quote does not appear in the document", None, None), 3: ("quote does not appear in the document", None, None), 4: ("no supporting quote supplied", None, None)}
+
+
+def test_claim_schema_values_and_citations(spark):
+    df = view(spark, [hyper(1, "a", "dropout", "0.1"), hyper(2, "a", "Drop out", "x", kind="odd"), ("r1", "a", "result", "em", "high", "float", None, None, None)]).withColumn("confidence", F.when(F.col("claim_id") == "c2", 1.5).otherwise(F.col("confidence")))
+    assert rows(claims.valid_claims(df)) == [("c2", "canonical_name", "pattern"), ("c2", "confidence", "range"), ("c2", "value_type", "enum"), ("r1", "stated_explicitly", "required"), ("r1", "value", "number")]
+    v = spark.createDataFrame([("1,024", "int"), ("0.5", "int"), ("true", "int"), ("7", None), ("−3", "float"), ("Adam", "categorical"), (None, "odd")], "value string, value_type string")
+    assert [tuple(r) for r in claims.typed_values(v).select("value", "value_type").collect()] == [("1024", "int"), ("0.5", "float"), ("true", "bool"), ("7", "int"), ("-3", "float"), ("Adam", "categorical"), (None, "categorical")]
+    q = spark.createDataFrame([("1", "p", "as [MASK] in [known] and [smith2020]"), ("2", "p", "see [smith2020]"), ("3", "p", "[12] none"), ("4", "p", None)], "claim_id string, paper_id string, quote string")
+    refs = spark.createDataFrame([("p", "known", "1706.03762"), ("p", "known", None), ("x", "smith2020", "1")], "paper_id string, ref_key string, arxiv_id string")
+    assert rows(claims.cited(q, refs)) == [("1", "known", "1706.03762"), ("2", "smith2020", None)]
+    f = spark.createDataFrame([("1", ["a"], []), ("2", [], []), ("3", ["a"], ["b"]), ("4", None, None)], "id string, symbols array<string>, undefined array<string>")
+    assert [r["symbol_check"] for r in claims.symbol_check(f).orderBy("id").collect()] == ["pass", "fail", "fail", "fail"]
+
+
+def test_merge_proposals(spark):
+    data = [hyper(1, "a", "warm up", "10", unit="steps"), hyper(2, "b", "warmup_length", "3", unit="epochs"), hyper(3, "c", "warmup_phase", "10", unit="steps"), hyper(4, "a", "dropout", "0.1"), hyper(5, "b", "dropout", "0.1"), hyper(6, "a", "warmer", "1")]
+    df = view(spark, data)
+    cand = align.merge_candidates(df)
+    assert rows(cand.select("name_key", "description"))[0] == ("warm_up", "warm up steps (section: S)") and cand.count() == 4
+    props = spark.createDataFrame([("hyperparameter", 1, k) for k in ("warm_up", "warmer")] + [("hyperparameter", 2, k) for k in ("warm_up", "warmup_length", "warmup_phase", "dropout")] + [("hyperparameter", 3, k) for k in ("warmup_phase", "warmer")] + [("hyperparameter", None, "warmer")], "type string, proposal int, name_key string")
+    merges = align.valid_merges(props, cand)  # the first is of one paper; the third has one free key
+    assert rows(merges) == [("hyperparameter", 2, "warm_up"), ("hyperparameter", 2, "warmup_length"), ("hyperparameter", 2, "warmup_phase")]
+    assert rows(align.merged_keys(df, merges)) == [("hyperparameter", "warm_up", "warm_up"), ("hyperparameter", "warmup_phase", "warm_up")]  # epochs are no steps
+    kids = spark.createDataFrame([("k", "k_1", "c1"), ("k", "k_2", "c3"), ("k", "k_3", "c2")], "cluster_id string, child_id string, claim_id string")
+    assert rows(align.merge_identical(kids, df)) == [("k", "k_1", "c1"), ("k", "k_1", "c3"), ("k", "k_3", "c2")]
+    named = spark.createDataFrame([("1", None, " Loss "), ("2", " ", None)], "claim_id string, canonical_name string, term string")
+    assert [r["name_key"] for r in align.aligned(named).orderBy("claim_id").collect()] == ["loss", "2"]
+
+
 def test_checks(spark):
     data = [hyper(1, "a", "dropout", "1.7"), hyper(2, "a", "dropout", "1.0"), hyper(3, "a", "lr", "0.5"), hyper(4, "a", "batch_size", "-8"), hyper(5, "a", "batch_size", "large"), hyper(6, "a", "unknown", "5"), hyper(7, "a", "dropout", "0.1")]
     r = {x["claim_id"]: x for x in claims.verify(claims.numeric_check(claims.range_check(view(spark, data)))).collect()}
@@ -310,7 +412,33 @@ def test_gaps(spark):
     df = view(spark, [hyper(1, "a", "lr", "1"), hyper(2, "a", "num_epochs", "3"), hyper(3, "b", "vocab_size", "3"), hyper(4, "a", "optimizer", "Adam")])
     got = gaps.gaps(df.withColumn("status", F.when(F.col("claim_id") == "c4", "rejected").otherwise("verified")))
     assert {(r["paper_id"], r["field"]) for r in got.collect()} == {("a", f) for f in ("optimizer", "batch_size", "weight_decay", "warmup_steps", "weight_initialization", "random_seed", "dropout")}
-    assert gaps.same_field("warmup_steps", "steps_warmup") and gaps.same_field("learning_rate", "learn_rate") and not gaps.same_field("dropout", "dropout_rate") and not gaps.same_field("data_split", "data_order")
+
+
+SAME_FIELD = [("warmup_steps", "steps_warmup"), ("learning_rate", "learn_rate"), ("tokenizer_type", "tokenizer"), ("dropout", "dropout_rate"), ("optimizer", "optimiser"), ("init_std_weight", "initialization_weight"), ("weight init", "weight_initialization")]
+OTHER_FIELD = [("data_split", "data_order"), ("encoder layers", "decoder layers"), ("max", "min"), ("num_heads", "numerator_heads"), ("", "x"), ("weight learning decay", "weight learning rate")]
+
+
+def test_same_field_and_its_join(spark):
+    pairs = SAME_FIELD + OTHER_FIELD
+    df = spark.createDataFrame(pairs, "a string, b string").select(gaps.same_field(F.col("a"), F.col("b")).alias("x"), gaps.same_field(F.col("b"), F.col("a")).alias("y"))
+    assert [tuple(r) for r in df.collect()] == [(True, True)] * len(SAME_FIELD) + [(False, False)] * len(OTHER_FIELD)
+    # The keys bring together all that mean one field: no pair is lost.
+    rng = random.Random(3)
+    words = ["optimizer", "optimiser", "init", "initialization", "rate", "rates", "steps", "step", "data", "layer", "later", "num", "weights", "weighta"]
+    names = sorted({"_".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
+    n = spark.createDataFrame([("s", x) for x in names], "g string, field string")
+    every = n.select(F.col("field").alias("l")).crossJoin(n.select(F.col("field").alias("r"))).where(gaps.same_field(F.col("l"), F.col("r")))
+    assert rows(gaps.matching_fields(n, n, "g").select("l", "r")) == rows(every)
+
+
+def test_proposed_gaps(spark):
+    old = spark.createDataFrame([("a", "g1", "tokenizer", "Which?", "BLOCKING"), ("a", "g2", "seed", "Seed?", "COSMETIC")], "paper_id string, gap_id string, field string, question string, criticality string")
+    new = [("a", 1, "Tokenizer Type", "Which subwords? Probably BPE.", None), ("a", 2, "dropout_rate", "Which dropout?", "BLOCKING"), ("a", 3, "data order", "Is it shuffled?", "odd"), ("a", 4, "data_order", "Again?", "BLOCKING"), ("a", 5, "x", "We suggest 5.", "BLOCKING"), ("a", 6, "how", "Which learning rate holds?", "BLOCKING"), ("a", 7, None, "What?", None)]
+    p = spark.createDataFrame(new, "paper_id string, rank int, field string, question string, criticality string")
+    name = lambda *xs: spark.createDataFrame([("a", x) for x in xs], "paper_id string, field string")
+    got = rows(gaps.add_proposed(old, p, name("dropout"), name("learning_rate")).select("field", "question", "criticality", "origin"))
+    assert got == [("data_order", "Is it shuffled?", "MATERIAL", "proposed"), ("seed", "Seed?", "COSMETIC", "checklist"), ("tokenizer", "Which subwords?", "BLOCKING", "checklist")]
+    assert len(rows(gaps.add_proposed(old, p.limit(0), name("dropout"), name("x")))) == 2
 
 
 def test_synthesis(spark):
@@ -319,9 +447,40 @@ def test_synthesis(spark):
     res = spark.createDataFrame([("x", "SELECTED", "c1")], "contradiction_id string, outcome string, selected_claim_id string")
     lost = synthesis.superseded(df, res)
     assert rows(lost) == [("c3",)]  # not r1: another kind of claim on the same name
-    comp = synthesis.components(df, spark.createDataFrame([], "type string, name_key string, cond string"), lost).collect()
-    assert sorted((r["component_id"], r["name_key"], r["provenance_refs"], r["cond"]) for r in comp) == [("cmp_global", "dropout", "c1,c2", ""), ("cmp_p_s1", "odd_thing", "c4", "reported in section 'S'")]
-    assert rows(synthesis.provenance_closure(spark.createDataFrame([("c1,zz",)], "provenance_refs string"), df)) == [(2, 1, 1, 0.5)]
+    none = spark.createDataFrame([], "type string, name_key string, cond string")
+    comp = synthesis.components(df, none, lost)
+    refs = synthesis.component_links(df, none, lost).groupBy("value_id").agg(F.array_join(F.array_sort(F.collect_list("claim_id")), ",").alias("refs"))
+    got = comp.join(refs, "value_id").collect()
+    assert sorted((r["component_id"], r["name_key"], r["refs"], r["cond"], r["n_refs"], r["n_papers"]) for r in got) == [("cmp_global", "dropout", "c1,c2", "", 2, 2), ("cmp_p_s1", "odd_thing", "c4", "reported in section 'S'", 1, 1)]
+    links = spark.createDataFrame([("v", "c1"), ("v", "zz"), ("w", "c2")], "value_id string, claim_id string")
+    mixed = df.withColumn("status", F.when(F.col("claim_id") == "c2", "rejected").otherwise("verified"))
+    assert rows(synthesis.provenance_closure(links, mixed)) == [(3, 1, 1, 1, 0.3333)]
+    assert rows(synthesis.provenance_closure(links.limit(0), df)) == [(0, 0, 0, 0, 1.0)]
+
+
+def test_gates_in_order(spark):
+    some, none = spark.range(1), spark.range(0)
+    closure = lambda c: spark.createDataFrame([(2, c)], "total int, closed int")
+    assert synthesis.first_problem(some, closure(1), some, some) == "blocking"
+    assert synthesis.first_problem(none, closure(1), some, some) == "provenance"
+    assert synthesis.first_problem(none, closure(2), some, some) == "cycle"
+    assert synthesis.first_problem(none, closure(2), none, some) == "schema"
+    assert synthesis.first_problem(none, closure(2), none, none) is None
+
+
+def test_decisions_conflict_states_and_contribution(spark):
+    data = [("m1", "a", "method", "tokenizer", "BPE", "categorical", None, None, True), hyper(1, "a", "dropout", "0.1"), hyper(2, "b", "dropout", "0.2")]
+    df = view(spark, data)
+    d = synthesis.design_decisions(df)
+    assert rows(d) == [("cmp_global", "tokenizer", "BPE", True, "m1")]
+    earlier = df.withColumn("attribution", F.lit("prior_work"))
+    assert rows(synthesis.design_decisions(earlier)) == []
+    papers = spark.createDataFrame([("a",), ("b",), ("c",)], "paper_id string")
+    assert rows(synthesis.contribution(papers, df)) == [("a", 2), ("b", 1), ("c", 0)]
+    assert rows(synthesis.contributing_papers(papers, df)) == [("a",), ("b",)]
+    con = spark.createDataFrame([("1", "BLOCKING"), ("2", "MATERIAL"), ("3", "MATERIAL"), ("4", "COSMETIC")], "contradiction_id string, severity string")
+    res = spark.createDataFrame([("2", "SELECTED"), ("3", "DEFERRED")], "contradiction_id string, outcome string")
+    assert rows(synthesis.split_conflicts(con, res).select("contradiction_id", "state")) == [("1", "blocking"), ("2", "resolved"), ("3", "open")]
 
 
 # Documents, operations --------------------------------------------------------------------------
@@ -335,6 +494,58 @@ def test_find_spans_and_packing(spark):
     assert [r["batch"] for r in documents.pack(docs, budget=1000).orderBy("paper_id", "doc_id").collect()] == [0, 0, 1, 2, 2, 3, 0]
 
 
+def test_packing_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(documents, "PIECE", 7)
+    rng = random.Random(4)
+    data = [(p, i, "", "x" * rng.choice([0, 10, 300, 700, 2000])) for p in "ab" for i in range(60) if rng.random() < 0.8]
+    df = spark.createDataFrame(data, "paper_id string, doc_id bigint, section string, text string")
+    want, state = [], {}
+    for p, i, _, t in data:
+        size = len(t) + 8
+        batch, used = state.get(p, (0, 0))
+        batch, used = (batch + 1, size) if used and used + size > 1000 else (batch, used + size)
+        state[p] = batch, used
+        want.append((p, i, size, batch))
+    assert rows(documents.pack(df, budget=1000)) == sorted(want, key=repr)
+    numbered = documents.in_order(df.select("paper_id", "doc_id"), "paper_id", "doc_id", "k")
+    assert rows(numbered.select("paper_id", "doc_id", "k")) == sorted(((p, i, [x for q, x, *_ in data if q == p].index(i)) for p, i, *_ in data), key=repr)
+    assert rows(documents.pack(df.limit(0))) == []
+
+
+def test_find_spans_in_blocks(spark, monkeypatch):
+    t = spark.createDataFrame([(3, "p", "aa  bb\ncc"), (1, "p", " x aa bb"), (2, "q", "aa bb"), (4, None, "aa bb")], "doc_id bigint, paper_id string, text string")
+    n = spark.createDataFrame([(1, "p", "aa bb"), (2, "p", "bb cc"), (3, "q", "b"), (4, "q", "cc"), (5, None, "aa"), (1, "p", "aa bb")], "nid int, paper_id string, needle string")
+    want = [(1, 1, 3), (2, 3, 4), (3, 2, 3)]
+    assert rows(documents.find_spans(n, t, "paper_id", "nid", "doc_id")) == want
+    monkeypatch.setattr(documents, "NEEDLE_BYTES", 6)
+    assert rows(documents.find_spans(n, t, "paper_id", "nid", "doc_id")) == want
+    assert rows(documents.find_spans(n.limit(0), t, "paper_id", "nid", "doc_id")) == rows(documents.find_spans(n, t.limit(0), "paper_id", "nid", "doc_id")) == []
+
+
+def test_rounds_that_run_out_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        align.connected_components(chain, most_rounds=1)
+    with pytest.raises(RuntimeError):
+        synthesis.cycle_members(chain.withColumnsRenamed({"a": "source", "b": "target"}), most_rounds=2)
+    ring = spark.createDataFrame([("d", "b"), ("b", "c"), ("c", "d"), ("a", "b"), ("c", "x")], "source string, target string")
+    assert synthesis.cycle_path(ring) == ["b", "c", "d"] and synthesis.cycle_path(ring.where("source = 'a'")) == []
+
+
+def test_blocked_providers_and_lost_batches(spark):
+    led = spark.createDataFrame([("2024-01-01 10:00:00", "a", True, 90), ("2024-01-01 11:00:00", "b", True, None), ("2024-01-01 12:00:00", "c", False, None)], "ts string, provider string, refused boolean, retry_after int").withColumn("ts", F.to_timestamp("ts"))
+    assert [(p, str(t)) for p, t in rows(operations.blocked_until(led))] == [("a", "2024-01-01 10:01:30"), ("b", "2024-01-02 00:00:00")]
+    runs = spark.createDataFrame([("p", "m", 5, 10, 2, 1), ("p", "m", 5, 10, 2, 2), ("q", "m", 0, 0, 0, 0)], "paper_id string, kind string, read_chars int, all_chars int, batches int, batches_ok int")
+    assert rows(operations.lost_batches(runs)) == [("p", "m", 0.5, 1), ("q", "m", None, 0)]
+
+
+def test_resolution_changes(spark):
+    v = spark.createDataFrame([("s", 1, "r1"), ("s", 2, "r1"), ("s", 2, "r2"), ("s", 4, "r2"), ("s", 5, None), ("t", 1, "r9")], "spec_id string, snapshot_no int, resolved_from string")
+    got = snapshots.resolution_changes(v)
+    assert rows(got) == [("s", 2, "resolution_added", "r2"), ("s", 4, "resolution_withdrawn", "r1"), ("s", 5, "resolution_withdrawn", "r2")]
+    assert rows(snapshots.change_summary(got)) == [("s", 2, 1, 0), ("s", 4, 1, 1), ("s", 5, 1, 1)]
+
+
 def test_operations(spark):
     led = spark.createDataFrame([("2024-01-01 10:00:00", "a", False)] * 9 + [("2024-01-01 11:00:00", "b", False), ("2024-01-01 12:00:00", "b", True)], "ts string, provider string, cached boolean").withColumn("ts", F.to_timestamp("ts"))
     q = operations.quota_headroom(led, spark.createDataFrame([("a", 10)], "provider string, daily_limit int"))

@@ -1,6 +1,8 @@
 """Sources, stage tables, streams."""
 
-from specweave.sources import latex, store, tei
+from pyspark.sql import functions as F
+
+from specweave.sources import latex, pages, store, tei
 from specweave.streaming import ledger
 
 TEX = r"""
@@ -34,6 +36,43 @@ def test_latex(spark):
     assert (b["ref_key"], b["arxiv_id"]) == ("bahdanau2014", "1409.0473")
 
 
+def test_latex_floats_and_front_matter(spark):
+    tex = r"\title[Short]{A \emph{Big} Title}\date{March 2019}\begin{document}\[ x = 1 \] a\\[2pt] \begin{flalign*}\label{eq:f} y = 2\end{flalign*}\begin{algorithm2e}\caption{Do \textbf{it}}\label{a:1} go\end{algorithm2e}\[ \]\begin{thebibliography}{1}\bibitem{x} 1999.\end{thebibliography}\end{document}"
+    df = spark.createDataFrame([("p", tex), ("q", "Copyright 2001 \\begin{document} since 1998"), ("r", None)], "paper_id string, source string")
+    assert [(r["label"], r["latex"]) for r in latex.equations(df, "paper_id", "source").orderBy("equation_index").collect()] == [("eq:f", "y = 2"), (None, "x = 1")]
+    assert [tuple(r) for r in latex.algorithms(df, "paper_id", "source").collect()] == [("p", 0, "a:1", "Do it", "\\caption{Do \\textbf{it}}\\label{a:1} go")]
+    assert [tuple(r) for r in latex.front_matter(df).orderBy("paper_id").collect()] == [("p", "A Big Title", 2019, None), ("q", None, 2001, None), ("r", None, None, None)]
+    meta = spark.createDataFrame([("p", " ", 2020, "ACL"), ("q", "Named", None, None)], "paper_id string, title string, year int, venue string")
+    assert [tuple(r) for r in latex.with_metadata(latex.front_matter(df).drop("abstract"), meta).orderBy("paper_id").collect()] == [("p", "A Big Title", 2020, "ACL"), ("q", "Named", 2001, None), ("r", None, None, None)]
+
+
+def test_pages_readers_and_review(spark):
+    d = spark.createDataFrame([(1, "First page with enough words.\n\nshort\fSecond page with enough words."), (2, None), (3, "")], "doc_id bigint, text string")
+    assert [tuple(r) for r in pages.page_paragraphs(d).collect()] == [(1, 1, 0, "First page with enough words."), (1, 2, 1, "Second page with enough words.")]
+    refs = {"1706.03762v2": "preprint", "a/b.PDF": "pages", "a/main.tex": "latex", "a/src.tar.gz": "latex", "a/b.tei": "tei", "notes": None}
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in refs], "r string").select(pages.reader_of(F.col("r"))).collect()] == list(refs.values())
+    f = spark.createDataFrame([(1, "k1", "a = b + c", "text_layer"), (1, "k2", "f(x = {12}", "text_layer"), (1, "k3", "((((((", "text_layer"), (2, "k4", "((((((", "latex_native")], "doc_id int, key string, latex string, fidelity string")
+    fix = spark.createDataFrame([("k2", "f(x) = 12")], "key string, latex string")
+    got = pages.review_formulas(f, fix)
+    assert [(r["latex"], r["fidelity"]) for r in got.orderBy("key").collect()] == [("a = b + c", "text_layer"), ("f(x) = 12", "ocr_recovered"), ("((((((", "text_layer_suspect"), ("((((((", "latex_native")]
+    assert [tuple(r) for r in pages.document_fidelity(got).orderBy("doc_id").collect()] == [(1, "ocr_recovered"), (2, "latex_native")]
+
+
+def test_ledger_and_fingerprint(spark, tmp_path):
+    s = store.RunStore(spark, str(tmp_path / "run"))
+    assert s.ledger().count() == 0 and s.facts() == {}
+    calls = spark.createDataFrame([("extract", "a", 10)], "stage string, provider string, input_tokens bigint")
+    s.log(calls)
+    s.log(calls)
+    (tmp_path / "run" / "ledger" / "bad.json").write_text("{cut off\n")
+    assert s.ledger().count() == 2 and s.ledger().agg({"input_tokens": "sum"}).first()[0] == 20
+    s.manifest(draft=True, fingerprint="x")
+    assert s.facts() == {"draft": True, "fingerprint": "x"}
+    papers = spark.createDataFrame([("p", "1"), ("q", None)], "paper_id string, sha256 string")
+    one = store.fingerprint({"a": 1, "b": [2]}, papers)
+    assert one == store.fingerprint({"b": [2], "a": 1}, papers.orderBy("paper_id", ascending=False)) and one != store.fingerprint({"a": 1, "b": [3]}, papers) and one != store.fingerprint({"a": 1, "b": [2]}, papers.limit(1))
+
+
 def test_read_latex(spark, tmp_path):
     (tmp_path / "p1").mkdir()
     (tmp_path / "p1" / "main.tex").write_text(TEX)
