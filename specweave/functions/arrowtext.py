@@ -118,10 +118,6 @@ def fold_table() -> np.ndarray:
     return char_table(_fold, np.uint32)
 
 
-def lower_table() -> np.ndarray:
-    return fold_table()
-
-
 def spread_case(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Code points whose folding takes several (sharp s, ligatures, some accented capitals) replaced by
     these, and where each code point has gone: n+1 offsets, None where nothing moved. All other code
