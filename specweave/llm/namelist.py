@@ -294,12 +294,17 @@ def accepted(readings: DataFrame, spelled: DataFrame) -> DataFrame:
     squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
     mine = mine.withColumn("norm", squares(F.col("g")))
     # Rarest first; an n-gram is looked up while it and those behind it could make up the threshold.
-    open_ = F.filter(F.transform("g", lambda x, i: F.struct(x["gram"].alias("gram"), i.alias("i"))), lambda x: squares(F.slice("g", x["i"] + 1, F.size("g"))) >= THRESHOLD**2 * F.col("norm"))
-    mine = cut(mine.withColumn("open", F.transform(open_, lambda x: x["gram"])), "grams")
-    pairs = mine.select("name", "turn", F.explode("open").alias("gram")).join(postings.select("gram", "sid"), "gram").select("name", "turn", "sid").distinct()
-    met = pairs.join(mine.select("name", "turn", "g", "norm"), ["name", "turn"]).join(entries.select("sid", "entry_grams"), "sid").join(norms, "sid")
+    rest = F.transform("g", lambda x, i: F.struct(x["w"].alias("w"), x["gram"].alias("gram"), i.alias("i")))
+    open_ = F.filter(rest, lambda x: squares(F.slice("g", x["i"] + 1, F.size("g"))) >= THRESHOLD**2 * F.col("norm"))
+    mine = cut(mine.withColumn("open", open_).withColumn("closed", F.col("norm") - squares(F.col("open"))), "grams")
+    looked_up = mine.select("name", "turn", F.explode("open").alias("o")).select("name", "turn", F.col("o.gram").alias("gram"), F.col("o.w").alias("w"))
+    shared = looked_up.join(postings.select("gram", "sid"), "gram").groupBy("name", "turn", "sid").agg(F.sum(F.col("w") * F.col("w")).alias("shared"))
+    met = shared.join(mine.select("name", "turn", "g", "norm", "closed"), ["name", "turn"]).join(entries.select("sid", "entry_grams"), "sid").join(norms, "sid")
+    # Even if all n-grams that were not looked up were shared, some pairs stay below: they are not scored.
+    size = F.sqrt(F.col("norm") * F.col("entry_norm"))
+    hopeful = met.where(F.col("shared") + F.col("closed") >= THRESHOLD * size - 1e-9)
     dot = squares(F.filter("g", lambda x: F.array_contains("entry_grams", x["gram"])))
-    scored = met.select("name", "turn", "sid", (dot / F.sqrt(F.col("norm") * F.col("entry_norm"))).alias("score")).where(F.col("score") >= THRESHOLD)
+    scored = hopeful.select("name", "turn", "sid", (dot / size).alias("score")).where(F.col("score") >= THRESHOLD)
     best = F.max("score").over(W.partitionBy("name", "turn"))
     near = scored.withColumn("best", best).where(F.col("score") >= F.col("best") - BEHIND).drop("best")
     return near.join(readings, ["name", "turn"]).join(spelled, "sid").select("name", "turn", "words", "known", "name_id", "alias", "entry", "score")
