@@ -6,9 +6,9 @@ fitted for each quantity on the log scale: all amounts of a quantity are taken t
 log-normal location, and an unwritten unit shifts an amount by that unit's known conversion, so
 the components have no free location. The unit is assigned by posterior; below ``CERTAIN`` the row
 is flagged. The fit reads a histogram with one row per quantity, origin and bin, whatever the
-number of amounts. The prior weight of a component is how often its unit is written; what else is
-known beforehand enters as prior odds: a bare number where parts per million are common is a
-fraction of one (``BARE_FRACTION``).
+number of amounts. The prior weight of a component is how often its unit is written, and nothing
+else. That a bare number where parts per million are common is a fraction of one is a rule of the
+data: the amount is given by the rule, and the posterior says what the amounts make of it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import cache, lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,6 @@ from specweave.session import cut, scan_width
 
 #: Posterior from which an assigned unit counts as certain.
 CERTAIN = 0.9
-#: Prior odds that a bare number of a quantity given in parts per million is a fraction of one. It is a
-#: rule of the data, so no likelihood within fifty decades outweighs it.
-BARE_FRACTION = 1e250
 BINS_PER_DECADE = 20
 EM_ROUNDS = 30
 #: Distinct (unit, value, quote) readings a worker remembers.
@@ -314,11 +311,6 @@ def components(common: str) -> list[tuple[str, float, float]]:
     return [(s, float(f / base), float(o / base)) for f, o, s in exact_components(common)]
 
 
-def prior_odds(common: str) -> np.ndarray:
-    """What is known of the components whatever the data: all alike, but for fractions of one."""
-    return np.array([1.0 if KIND_OF[common] != "ratio" or f == 1 and not o else 1 / BARE_FRACTION for f, o, _ in exact_components(common)])
-
-
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Weights of one quantity's components, and the shared location and spread, by EM over bins."""
     name, common = pdf["canonical_name"].iloc[0], pdf["common_unit"].iloc[0]
@@ -326,9 +318,9 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     known, bare = pdf[pdf["known"]], pdf[~pdf["known"]]
     out = {"canonical_name": name, "at": range(len(parts)), "unit": [p[0] for p in parts], "factor": [p[1] for p in parts], "shift": [p[2] for p in parts]}
     k, n_known = len(parts), float(known["n"].sum())
-    # A unit is left out as often as it is written, so far as nothing else is known.
+    # A unit is left out as often as it is written, so far as the amounts say nothing else.
     seen = np.bincount(known["at"].dropna().astype(int), known.loc[known["at"].notna(), "n"], k)
-    prior, odds = (seen + 0.5) / (seen + 0.5).sum(), prior_odds(common)
+    prior = (seen + 0.5) / (seen + 0.5).sum()
     weight = prior.copy()
     centre = (bare["bin"].to_numpy(float) + 0.5) / BINS_PER_DECADE
     x = np.power(10.0, centre)[:, None] * np.array(out["factor"]) + np.array(out["shift"])
@@ -338,14 +330,13 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     mu = float((at * w_known).sum() / n_known) if n_known else float(np.median(log_x)) if log_x.size else 0.0
     var = float(((at - mu) ** 2 * w_known).sum() / n_known) + 0.01 if n_known else 1.0
     for _ in range(EM_ROUNDS if len(bare) else 0):
-        like = weight * odds * np.exp(-((log_x - mu) ** 2) / (2 * var)) + 1e-300
+        like = weight * np.exp(-((log_x - mu) ** 2) / (2 * var)) + 1e-300
         r = like / like.sum(axis=1, keepdims=True) * n
         weight = (r.sum(axis=0) + k * prior) / (n.sum() + k)
         total = r.sum() + n_known
         mu = float(((r * log_x).sum() + (at * w_known).sum()) / total)
         var = float(((r * (log_x - mu) ** 2).sum() + ((at - mu) ** 2 * w_known).sum()) / total) + 0.01
-    weight = weight * odds
-    return pd.DataFrame({**out, "weight": weight / weight.sum(), "mu": mu, "var": var})
+    return pd.DataFrame({**out, "weight": weight, "mu": mu, "var": var})
 
 
 def unit_mixtures(read: DataFrame) -> DataFrame:
@@ -358,43 +349,52 @@ def unit_mixtures(read: DataFrame) -> DataFrame:
 
 
 def _assigned(read: DataFrame) -> DataFrame:
-    """Bare positive numbers with the unit that the mixture of their quantity assigns them."""
+    """Bare positive numbers with the unit that the mixture of their quantity assigns them; where parts
+    per million are common, with that of the rule and the mixture's posterior of it."""
     mix = unit_mixtures(read)
     part = F.struct("at", "unit", "factor", "shift", "weight")
     choices = mix.groupBy("canonical_name").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.first("mu").alias("mu"), F.first("var").alias("var"))
     x = lambda p: F.log10(F.greatest(F.col("number") * p["factor"] + p["shift"], F.lit(1e-300)))
     score = F.transform("parts", lambda p: F.struct((F.log(p["weight"]) - (x(p) - F.col("mu")) ** 2 / (2 * F.col("var"))).alias("s"), p["unit"].alias("unit"), p["at"].alias("at"), (F.col("number") * p["factor"] + p["shift"]).alias("v"), ((p["factor"] != 1) | (p["shift"] != 0)).alias("other")))
+    ruled = F.col("readings").isNotNull()
     bare = read.where("origin = 'none' and number > 0").join(choices, "canonical_name").withColumn("scores", score).withColumn("best", F.array_max("scores"))
-    share = 1 / F.aggregate("scores", F.lit(0.0), lambda a, p: a + F.exp(p["s"] - F.col("best")["s"]))
+    # A fraction of one is the last of its components.
+    bare = bare.withColumn("pick", F.when(ruled, F.try_element_at("scores", F.size("scores"))).otherwise(F.col("best")))
+    share = F.exp(F.col("pick")["s"] - F.col("best")["s"]) / F.aggregate("scores", F.lit(0.0), lambda a, p: a + F.exp(p["s"] - F.col("best")["s"]))
     # Exact where the reader has worked the readings out, else as near as a double is.
-    v = F.coalesce(F.try_element_at("readings", F.col("best")["at"] + 1), F.rint(F.col("best")["v"]).cast("bigint"))
-    other = F.col("readings").isNotNull() & F.col("best")["other"]
-    fine = bare.where(F.col("readings").isNotNull() | (F.abs(F.col("best")["v"]) < 9.2e18))
-    return fine.select("claim_id", "canonical_name", v.alias("common_value"), "origin", other.alias("mixed"), F.col("best")["unit"].alias("assigned_unit"), share.alias("posterior"), (share < CERTAIN).alias("uncertain"))
+    v = lambda p: F.coalesce(F.try_element_at("readings", F.col(p)["at"] + 1), F.rint(F.col(p)["v"]).cast("bigint"))
+    fine = bare.where(ruled | (F.abs(F.col("best")["v"]) < 9.2e18))
+    return fine.select("claim_id", "canonical_name", v("pick").alias("common_value"), "origin", (ruled & F.col("pick")["other"]).alias("mixed"), F.col("pick")["unit"].alias("assigned_unit"), share.alias("posterior"), (share < CERTAIN).alias("uncertain"), F.col("best")["unit"].alias("likely_unit"), v("best").alias("likely_value"))
+
+
+def _no_likely() -> list[Column]:
+    return [F.lit(None).cast("string").alias("likely_unit"), F.lit(None).cast("bigint").alias("likely_value")]
 
 
 def _flat(read: DataFrame) -> DataFrame:
-    """Bare zeros and negative numbers, on no log scale: taken as the prior has it, and flagged."""
+    """Bare zeros and negative numbers, on no log scale: taken as the rule has it, and flagged."""
     n = read.where("origin = 'none' and number <= 0").where(F.abs("number") < 9.2e18)
     fraction = F.col("readings").isNotNull()
     v = F.when(fraction, F.try_element_at("readings", F.size("readings"))).otherwise(F.rint("number").cast("bigint"))
-    return n.select("claim_id", "canonical_name", v.alias("common_value"), "origin", fraction.alias("mixed"), F.when(fraction, "fraction").otherwise(F.col("common_unit")).alias("assigned_unit"), F.lit(0.0).alias("posterior"), F.lit(True).alias("uncertain"))
+    return n.select("claim_id", "canonical_name", v.alias("common_value"), "origin", fraction.alias("mixed"), F.when(fraction, "fraction").otherwise(F.col("common_unit")).alias("assigned_unit"), F.lit(0.0).alias("posterior"), F.lit(True).alias("uncertain"), *_no_likely())
 
 
 def convert_units(claims: DataFrame, common_units: DataFrame) -> DataFrame:
-    """``(claim_id, canonical_name, common_value, origin, mixed, assigned_unit, posterior, uncertain)``,
-    one row per claim with an amount of a name in ``common_units``.
+    """``(claim_id, canonical_name, common_value, origin, mixed, assigned_unit, posterior, uncertain,
+    likely_unit, likely_value)``, one row per claim with an amount of a name in ``common_units``.
 
     ``mixed``: the amount is recorded in a unit or scale other than the common one.
     ``origin`` says where the unit stood: ``unit``, ``value``, ``quote``, ``clock`` (hours and minutes) or
     ``none``; in the last case the unit is assigned by the mixture, with its posterior, and the amount
-    is never ``mixed`` but where parts per million are common. No row: values that are null, empty or no
-    amount, units of another kind of quantity, names that are null or not listed. Repeated
-    rows count once. Zero or negative bare numbers carry no scale: they are taken to be in
-    the common unit (fractions of one where parts per million are common) and flagged.
+    is never ``mixed``. Where parts per million are common the rule assigns a bare number the fraction of
+    one, which is ``mixed``, whatever the mixture holds: ``posterior`` is the mixture's of that fraction.
+    ``likely_unit`` and ``likely_value`` are the mixture's own reading of a bare positive number. No row:
+    values that are null, empty or no amount, units of another kind of quantity, names that are null or
+    not listed. Repeated rows count once. Zero or negative bare numbers carry no scale: they are taken to
+    be in the common unit (fractions of one where parts per million are common) and flagged.
     """
     read = cut(amounts(claims, common_units), "amounts")  # read three times below, by the text reader once
-    written = read.where("origin <> 'none'").select("claim_id", "canonical_name", "common_value", "origin", "mixed", F.lit(None).cast("string").alias("assigned_unit"), F.lit(1.0).alias("posterior"), F.lit(False).alias("uncertain"))
+    written = read.where("origin <> 'none'").select("claim_id", "canonical_name", "common_value", "origin", "mixed", F.lit(None).cast("string").alias("assigned_unit"), F.lit(1.0).alias("posterior"), F.lit(False).alias("uncertain"), *_no_likely())
     return written.unionAll(_assigned(read)).unionAll(_flat(read)).distinct()
 
 
@@ -403,7 +403,7 @@ def mixed_amounts(claims: DataFrame, common_units: DataFrame) -> DataFrame:
     the common one, with the amount in the common unit, to the nearest integer (ties to even).
 
     Bare numbers are cases only where parts per million are common, so the mixture is fitted to the
-    quantities that have such numbers."""
+    quantities that have such numbers. There the rule gives the amount; no posterior takes a case away."""
     read = cut(amounts(claims, common_units), "amounts")
     written = read.where("origin <> 'none' and mixed")
     open_units = read.where(F.col("common_unit").isin([u for u, kind in KIND_OF.items() if kind == "ratio"]))

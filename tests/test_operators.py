@@ -84,6 +84,31 @@ def test_hidden_units_are_assigned(spark):
     assert len(got) == 150 and len(sure) >= 100 and len(right) >= 0.95 * len(sure)
 
 
+def test_no_amounts_take_a_bare_fraction_away(spark):
+    """Where ppm are common a bare number is a fraction of one, however near it lies to the others in ppm."""
+    data = [(f"k{i}", "d", f"{5 + i % 3 / 10:.1f}", "ppm", None) for i in range(300)] + [("b", "d", "3", None, None)]
+    df = spark.createDataFrame(data, "claim_id string, canonical_name string, value string, unit string, quote string")
+    names = spark.createDataFrame([("d", "ppm")], "canonical_name string, common_unit string")
+    assert rows(units.mixed_amounts(df, names)) == [("b", 3000000)]
+    b = units.convert_units(df, names).where("claim_id = 'b'").first()
+    assert (b["common_value"], b["mixed"], b["uncertain"]) == (3000000, True, True) and b["posterior"] < 0.01
+    assert (b["likely_unit"], b["likely_value"]) == ("ppm", 3)
+
+
+def test_posterior_of_bare_fractions_comes_from_the_amounts(spark):
+    """Of bare ratios some are fractions and some lost their percent sign: the mixture tells them apart."""
+    rng = random.Random(3)
+    draw = lambda: f"{rng.lognormvariate(-1.6, 0.3):.6f}"
+    data = [(f"k{i}", "d", draw(), "fraction", None) for i in range(200)] + [(f"f{i}", "d", draw(), None, None) for i in range(60)]
+    lost = {f"p{i}": f"{100 * float(draw()):.4f}" for i in range(60)}
+    df = spark.createDataFrame(data + [(c, "d", v, None, None) for c, v in lost.items()], "claim_id string, canonical_name string, value string, unit string, quote string")
+    names = spark.createDataFrame([("d", "ppm")], "canonical_name string, common_unit string")
+    out = {r["claim_id"]: r for r in units.convert_units(df, names).where("origin = 'none'").collect()}
+    assert all(r["uncertain"] == (c in lost) and r["mixed"] for c, r in out.items()) and len(out) == 120
+    assert all((out[c]["common_value"], out[c]["likely_unit"], out[c]["likely_value"]) == (round(Fraction(v) * 10**6), "%", round(Fraction(v) * 10**4)) for c, v in lost.items())
+    assert all(r["likely_value"] == r["common_value"] for c, r in out.items() if c not in lost)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**12), st.sampled_from([",", " ", "_", " "]))
 def test_grouped_numbers_round_trip(n, sep):
